@@ -144,4 +144,5 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """The documents that pass, with their scores."""
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").drop("kept")

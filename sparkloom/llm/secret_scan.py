@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +36,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MIN_RUN, MIN_VALUE, RATIO, RATIO_ASSIGNED = 16, 8, 2.2, 2.8
 MASK = "[SECRET]"
 
-_NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|key)"
-#: What the JVM looks for; every candidate below contains a match.
-PREFILTER = rf"[A-Za-z0-9+/_\-]{{{MIN_RUN}}}|(?i){_NAME}[\"']?\s{{0,3}}[:=]"
-_RUN = re.compile(rf"(?<![A-Za-z0-9+/_\-=.])[A-Za-z0-9+/_\-]{{{MIN_RUN},}}={{0,2}}(?![A-Za-z0-9+/_\-])")
-_ASSIGNED = re.compile(rf"(?i)(?<![a-z0-9])[a-z0-9_.\-]{{0,40}}?{_NAME}[\"']?\s{{0,3}}(?::|=|:=)\s{{0,3}}(?:bearer\s)?[\"'`]?([^\s\"'`,;<>]{{{MIN_VALUE},}})")
+#: Every candidate holds a match of both; the first, cheap one is tried first.
+PREFILTER = r"[0-9:=]", r"[A-Za-z0-9+/_\-]{16}|[:=]\s{0,3}[^\s]{8}"
+_RUN = re.compile(rf"[A-Za-z0-9+/_\-]{{{MIN_RUN},}}={{0,2}}")
+_VALUE = re.compile(rf"[:=]\s{{0,3}}(?:[Bb]earer\s)?[\"'`]?([^\s\"'`,;<>]{{{MIN_VALUE},}})")
+_NAME = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|bearer|(?<![a-z])(?:auth|(?:[a-z0-9]{1,20}[_\-]?)?key))[\"']?\s{0,3}:?$")
 _DIGEST_WORD = re.compile(r"(?i)(?:sha-?(?:1|224|256|384|512)?|md5|commit|checksum|digest|hash|etag|revision|rev|integrity|fingerprint|blake2b?|crc32)[\"']?\s{0,2}[:=\s#-]\s{0,3}[\"']?$")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-_PART = re.compile(r"((?:[A-Z]?[a-z]+|[A-Z]+)*)(\d{0,8})")
+_PART = re.compile(r"([A-Za-z]*)(\d{0,8})")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LENGTHS = {32, 40, 56, 64, 96, 128}
 
@@ -60,26 +59,28 @@ def _encoder(raw: bytes):
 
 
 def _identifier(s: str) -> bool:
-    """Whether the string reads as camel-case words of at least 3 letters on average, each with a number at its end or none."""
+    """Whether the string reads as camel-case words of at least 3 letters on average, none of an unlikely length, with numbers only at the ends of parts."""
     words: list[str] = []
     for part in re.split(r"[_\-./+=]+", s):
         m = _PART.fullmatch(part)
         if not m:
             return False
         words += _WORD.findall(m[1])
-    return not words or sum(map(len, words)) / len(words) >= 3
+    return not words or sum(map(len, words)) / len(words) >= 3 and max(len(w) - 10 * w.islower() for w in words) <= 12
 
 
 def scan(text: str, encode, ratio: float = RATIO, ratio_assigned: float = RATIO_ASSIGNED) -> list[tuple[int, int, str, int, float]]:
     """(start, end, kind, tokens, characters per token) of the secrets, by start and without overlap."""
     found: list[tuple[int, int, str, int, float]] = []
     taken = []
-    for m in _ASSIGNED.finditer(text):
+    for m in _VALUE.finditer(text):
+        if not _NAME.search(text, max(0, m.start() - 48), m.start()):
+            continue
         a, b = m.span(1)
         while b > a and text[b - 1] in ".!?)]}*$&%#|":
             b -= 1
         value = text[a:b]
-        if len(value) < MIN_VALUE or "://" in value or not any(c.isdigit() for c in value) and value.isalpha() and len(value) < MIN_RUN:
+        if len(value) < MIN_VALUE or "://" in value or value.isalpha() and len(value) < MIN_RUN:
             continue
         n = len(encode(value))
         taken.append((a, b))
@@ -88,7 +89,7 @@ def scan(text: str, encode, ratio: float = RATIO, ratio_assigned: float = RATIO_
     for m in _RUN.finditer(text):
         a, b = m.span()
         value = m[0]
-        if any(x < b and a < y for x, y in taken):
+        if a and text[a - 1] in "=." or any(x < b and a < y for x, y in taken):
             continue
         if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             continue
@@ -116,10 +117,14 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _possible(text: Column) -> Column:
+    return text.rlike(PREFILTER[0]) & text.rlike(PREFILTER[1])
+
+
 def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each secret: doc_id, start and end (characters), kind, n_tokens and chars_per_token.  The secret itself isn't repeated."""
     raw = _vocabulary(docs.sparkSession, vocabulary)
-    d = take(docs, id_col, text_col).toDF("doc_id", "text").filter(F.col("text").rlike(PREFILTER))
+    d = take(docs, id_col, text_col).toDF("doc_id", "text").filter(_possible(F.col("text")))
 
     @F.arrow_udf("array<struct<start:int,end:int,kind:string,n_tokens:int,chars_per_token:double>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -139,8 +144,7 @@ def masked(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY) -> C
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = _encoder(raw.value)
         for texts in batches:
-            hit = pc.fill_null(pc.match_substring_regex(texts, PREFILTER.replace("(?i)", "(?i:") + ")"), False).to_pylist()
-            yield pa.array([mask(t, scan(t, encode)) if h else t for t, h in zip(texts.to_pylist(), hit)], pa.string())
+            yield pa.array([None if t is None else mask(t, scan(t, encode)) for t in texts.to_pylist()], pa.string())
 
     return run(text)
 
@@ -149,8 +153,7 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", size_col: str = "n_
     """`docs` with secrets masked in the text; the count of characters, where there is one, follows."""
     table, names = flat(docs)
     t = f"c{names.index(text_col)}"
-    new = F.when(F.col(t).rlike(PREFILTER), masked(docs.sparkSession, F.when(F.col(t).rlike(PREFILTER), F.col(t)), vocabulary)).otherwise(F.col(t))
-    table = table.withColumn("new", new)
+    table = table.withColumn("new", F.coalesce(masked(docs.sparkSession, F.when(_possible(F.col(t)), F.col(t)), vocabulary), F.col(t)))
     if size_col in names:
         n = f"c{names.index(size_col)}"
         table = table.withColumn(n, F.when(F.col("new") != F.col(t), F.length("new").cast(table.schema[n].dataType)).otherwise(F.col(n)))
