@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import with_rank
-
 
 def dependents(symbols: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Files one call away from a target, other than targets, by path.  `targets` has file_path."""
@@ -40,5 +38,5 @@ def totals(records: DataFrame) -> DataFrame:
 
 def interleave(hits: DataFrame, limit: int) -> DataFrame:
     """Rank-major merge of roots' results (root, rank): all first hits by root, then all second ones; scores of roots never compare."""
-    best = with_rank(hits.orderBy("rank", "root").limit(limit), "position", F.asc("rank"), F.asc("root"))
-    return best
+    best = hits.orderBy("rank", "root").limit(limit)
+    return best.withColumn("position", F.row_number().over(Window.orderBy("rank", "root")))

@@ -75,7 +75,7 @@ def fuse(signals: dict[str, DataFrame], weights: Weights) -> DataFrame:
     for name, df in signals.items():
         w = getattr(weights, name)
         if w > 0:
-            r = with_rank(df, "_rank", F.desc(name), F.asc("chunk_id"))
+            r = with_rank(df.withColumn("_key", F.round(name, 9)), "_rank", F.desc("_key"), F.asc("chunk_id"))
             parts = {n: (F.col(n) if n == name else F.lit(0.0)).alias(n) for n in signals}
             lists.append(r.select("chunk_id", (w / (RRF_K + F.col("_rank"))).alias("_share"), *parts.values(), F.lit(name).alias("_signal"), F.lit(float(w)).alias("_w")))
     if not lists:
