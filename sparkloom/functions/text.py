@@ -70,25 +70,25 @@ def extension(path: Column) -> Column:
 def with_fuzzy(df: DataFrame, text: Column, query: str, name: str) -> DataFrame:
     """Adds the greedy leftmost subsequence score: 10 a match, 15 more where it follows the last, 10 more at the start or after a non-alphanumeric; null if incomplete.
 
-    The query is a literal, so the walk is unrolled into a `locate` for each of
-    its characters; there is no lambda and no UDF.
+    The walk folds the query's characters over (place, score).  A fold keeps the
+    expression as long as the query, where columns that build on one another
+    would double with each character once a filter is pushed through them.
     """
-    df = df.withColumn("_low", F.lower(text)).withColumn("_at0", F.lit(0))
-    parts = []
-    for k, c in enumerate(query.lower()):
-        df = df.withColumn(f"_at{k + 1}", F.when(F.col(f"_at{k}").isNotNull(), F.expr(f"nullif(locate({_sql(c)}, _low, _at{k} + 1), 0)")))
-        here, last = F.col(f"_at{k + 1}"), F.col(f"_at{k}")
-        edge = (here == 1) | ~F.expr(f"substring(_low, _at{k + 1} - 1, 1)").rlike(r"[\p{L}\p{N}]")
-        parts.append(F.lit(10) + F.when((here == last + 1) & F.lit(k > 0), 15).otherwise(0) + F.when(edge, 10).otherwise(0))
-    total = parts[0] if parts else F.lit(0)
-    for p in parts[1:]:
-        total = total + p
-    n = len(query)
-    return df.withColumn(name, F.when(F.col(f"_at{n}").isNotNull(), total)).drop("_low", *[f"_at{k}" for k in range(n + 1)])
-
-
-def _sql(c: str) -> str:
-    return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if not query:
+        return df.withColumn(name, F.lit(0))
+    low = F.lower(text)
+
+    def step(acc: Column, c: Column) -> Column:
+        def found(h: Column) -> Column:
+            edge = (h == 1) | ~F.substring(low, h - 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
+            more = F.when((acc["at"] > 0) & (h == acc["at"] + 1), 15).otherwise(0) + F.when(edge, 10).otherwise(0)
+            return F.struct(h.alias("at"), (acc["score"] + 10 + more).alias("score"))
+
+        place = F.when(acc["at"].isNotNull(), F.nullif(F.call_function("locate", c, low, acc["at"] + 1), F.lit(0)))
+        return F.element_at(F.transform(F.array(place), found), 1)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("score"))
+    return df.withColumn(name, F.aggregate(F.array(*map(F.lit, query.lower())), start, step, lambda acc: F.when(acc["at"].isNotNull(), acc["score"])))
 
 
 def safe_path(path: Column) -> Column:

@@ -66,17 +66,13 @@ def _trigram(grams: list[str]) -> str:
 
 
 def _fuzzy(source: str, text: str, query: str, name: str) -> str:
-    """A subquery of `source` with the fuzzy score as a further column."""
-    q = query.lower()
-    sql = f"(SELECT *, lower({text}) AS low_, 0 AS at0_ FROM {source})"
-    for k, c in enumerate(q):
-        sql = f"(SELECT *, CASE WHEN at{k}_ IS NOT NULL AND strpos(substr(low_, at{k}_ + 1), '{c}') > 0 THEN at{k}_ + strpos(substr(low_, at{k}_ + 1), '{c}') END AS at{k + 1}_ FROM {sql})"
-    parts = []
-    for k in range(len(q)):
-        near = f"CASE WHEN at{k + 1}_ = at{k}_ + 1 THEN 15 ELSE 0 END" if k else "0"
-        parts.append(rf"10 + {near} + CASE WHEN at{k + 1}_ = 1 OR NOT regexp_matches(substr(low_, at{k + 1}_ - 1, 1), '[\p{{L}}\p{{N}}]') THEN 10 ELSE 0 END")
-    drop = ", ".join(["low_", *[f"at{k}_" for k in range(len(q) + 1)]])
-    return f"(SELECT * EXCLUDE ({drop}), CASE WHEN at{len(q)}_ IS NOT NULL THEN {' + '.join(parts)} END AS {name} FROM {sql})"
+    """A subquery of `source` with the fuzzy score as a further column, folded over the query's characters."""
+    chars = ", ".join(f"{{'c': '{c}', 'k': 0::BIGINT, 's': 0::BIGINT}}" for c in query.lower())
+    p = f"strpos(substr(lower({text}), a.k + 1), x.c)"
+    more = rf"CASE WHEN a.k > 0 AND {p} = 1 THEN 15 ELSE 0 END + CASE WHEN a.k + {p} = 1 OR NOT regexp_matches(substr(lower({text}), a.k + {p} - 1, 1), '[\p{{L}}\p{{N}}]') THEN 10 ELSE 0 END"
+    step = f"lambda a, x: {{'c': '', 'k': CASE WHEN a.k IS NOT NULL AND {p} > 0 THEN a.k + {p} END, 's': CAST(a.s + 10 + {more} AS BIGINT)}}"
+    fold = f"list_reduce([{chars}], {step}, {{'c': '', 'k': 0::BIGINT, 's': 0::BIGINT}})"
+    return f"(SELECT * EXCLUDE (fold_), CASE WHEN fold_.k IS NOT NULL THEN fold_.s END AS {name} FROM (SELECT *, {fold} AS fold_ FROM {source}))"
 
 
 def _get(query: str) -> str:
