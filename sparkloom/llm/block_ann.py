@@ -79,7 +79,7 @@ def match(ids, x, cand_ids, y, heaps: Heaps, quant_x, quant_y) -> None:
     if len(cand_ids) > heaps.k:
         lower = np.where(np.isfinite(upper), dot - err, -np.inf)
         floor = np.maximum(floor, np.partition(lower, -heaps.k, axis=1)[:, -heaps.k])
-    a, b = np.nonzero(upper >= (floor - 1e-9)[:, None])
+    a, b = np.nonzero((upper >= (floor - 1e-9)[:, None]) & np.isfinite(upper))
     if len(a):
         exact = np.round(np.einsum("ij,ij->i", x[a], y[b]), 9)
         for i, c, o in zip(a.tolist(), exact.tolist(), cand_ids[b].tolist()):
