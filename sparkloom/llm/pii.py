@@ -63,7 +63,7 @@ def _phone(m: re.Match) -> tuple[float, bool | None]:
 
 def _card(m: re.Match) -> tuple[float, bool | None]:
     d = re.sub(r"\D", "", m[0])
-    if not luhn(d) or len(set(d)) < 3:
+    if not luhn(d) or len(set(d)) < 2:
         return 0.1, False
     return (0.9 if re.match(r"4|5[1-5]|2[2-7]|3[4-7]|6(?:011|5|4)", d) else 0.6), True
 
