@@ -1,0 +1,58 @@
+import hashlib
+import random
+import string
+import uuid
+
+import pytest
+
+from sparkloom.llm import secret_scan as ss
+
+KEY = "q7Zt9LxV2mKw8RbN4cYd6FhJ1gPs"
+
+
+@pytest.fixture(scope="module")
+def encode():
+    with open(ss.VOCABULARY, "rb") as f:
+        return ss._encoder(f.read())
+
+
+def kinds(text, encode):
+    return [(text[a:b], k) for a, b, k, *_ in ss.scan(text, encode)]
+
+
+def test_random_strings_are_found(encode):
+    rng = random.Random(5)
+    found = 0
+    for _ in range(200):
+        key = "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(20, 44)))
+        found += kinds(f"some words before {key} and after", encode) == [(key, "run")]
+    assert found >= 195
+
+
+def test_assigned_values(encode):
+    assert kinds('password = "hunter2!xq9Z"', encode)[0][1] == "assigned"
+    assert kinds(f"api_key: {KEY}", encode) == [(KEY, "assigned")]
+
+
+def test_digests_and_identifiers_are_left(encode):
+    for x in (hashlib.sha256(b"a").hexdigest(), hashlib.md5(b"a").hexdigest(), hashlib.sha1(b"a").hexdigest(), str(uuid.UUID(int=7**40)), "https://example.org/docs/getting-started/install-guide-2024", "someVeryLongCamelCaseIdentifierName2", "2024-01-01-release-notes-final", "12345678901234567890"):
+        assert kinds(f"see {x} there", encode) == [], x
+    assert kinds("checksum: q7Zt9LxV2mKw8RbN4cYd6FhJ1gPs", encode) == []
+
+
+def test_long_run_is_scanned_whole(encode):
+    rng = random.Random(1)
+    key = "".join(rng.choices(string.ascii_letters + string.digits, k=200_000))
+    assert kinds("a " * 50_000 + key, encode) == [(key, "run")]
+
+
+def test_table(spark, table, odd_rows):
+    df = table([*odd_rows, (20, f"token = {KEY} end"), (20, f"token = {KEY} end")])
+    got = [(r.doc_id, r.start, r.end) for r in ss.secrets(df).collect()]
+    assert got == [(20, 8, 8 + len(KEY))] * 2
+    out = ss.mask_secrets(df)
+    assert out.columns == df.columns
+    rows = {(r[0], r[1]): r for r in out.collect()}
+    assert rows[(20, f"token = {ss.MASK} end")][4] == len(f"token = {ss.MASK} end")
+    assert out.count() == df.count() and (1, None) in rows and (2, "") in rows
+    assert ss.mask_secrets(df.limit(0)).count() == ss.secrets(df.limit(0)).count() == 0
