@@ -36,7 +36,8 @@ def cascade(positions: DataFrame, *answers: DataFrame) -> DataFrame:
         both = a if both is None else both.unionByName(a)
     best = both.groupBy("query_id").agg(F.min("_layer").alias("_best"))
     rows = both.join(best, "query_id").filter("_layer = _best").drop("_best")
-    name = F.coalesce(F.element_at(F.array(*map(F.lit, LAYERS)), F.col("_layer") + 1), F.lit("none"))
+    # not element_at: with an index that may be null the planner still takes it as never null, and drops the default
+    name = F.when(F.col("_layer") == 0, LAYERS[0]).when(F.col("_layer") == 1, LAYERS[1]).when(F.col("_layer") == 2, LAYERS[2]).otherwise("none")
     return positions.select("query_id").join(rows, "query_id", "left").withColumn("layer", name).drop("_layer")
 
 
