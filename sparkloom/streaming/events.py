@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_GAPS = 1000
 
 
+def _millis(df: DataFrame, name: str) -> Column:
+    """Milliseconds of a time with or without a zone."""
+    if dict(df.dtypes)[name] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {name})")
+    return F.unix_millis(name)
+
+
 def sessions(events: DataFrame, gap_ms: int) -> DataFrame:
     """`events` (seq, ts, ...) with `session`: one global timer, so a session ends where no event at all comes for `gap_ms`.
 
@@ -18,7 +25,7 @@ def sessions(events: DataFrame, gap_ms: int) -> DataFrame:
     those between buckets, and the numbers of earlier sessions, come from one
     row a bucket.  No task sees all events.
     """
-    e = events.withColumn("_t", F.unix_millis("ts")).withColumn("_b", F.floor(F.col("_t") / (gap_ms * BUCKET_GAPS)))
+    e = events.withColumn("_t", _millis(events, "ts")).withColumn("_b", F.floor(F.col("_t") / (gap_ms * BUCKET_GAPS)))
     w = Window.partitionBy("_b").orderBy("_t", "seq")
     edge = Window.orderBy("_b")
     ends = e.groupBy("_b").agg(F.max("_t").alias("_last")).withColumn("_before", F.lag("_last").over(edge)).select("_b", "_before")
