@@ -20,6 +20,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.concat(parts, whole), lambda w: w != "")
 
 
+def token_count(text: Column) -> Column:
+    """The number of `tokens`, counted without making them: words, boundaries inside words, and words that have one."""
+    boundary = r"(?:\p{Ll}|\p{N})\p{Lu}"
+    whole = r"[\p{L}\p{N}]*" + boundary + r"[\p{L}\p{N}]*"
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")) + F.when(text.rlike(boundary), F.regexp_count(text, F.lit(boundary)) + F.regexp_count(text, F.lit(whole))).otherwise(0)
+
+
 def query_tokens(query: str) -> list[str]:
     """`tokens` of a literal, on the driver, in order and once each."""
     alnum = re.compile(r"[^\W_]+")

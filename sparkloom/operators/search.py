@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import with_rank
-from ..functions.text import dice, query_tokens, tokens
+from ..functions.text import dice, query_tokens, token_count, tokens
+from ..plans.session import shared
 
 
 @dataclass(frozen=True)
@@ -31,9 +32,10 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     terms = query_tokens(query)
     if not terms:
         return chunks.select("chunk_id", F.lit(0.0).alias("bm25")).limit(0)
-    t = chunks.select("chunk_id", tokens(F.col("text")).alias("_b"), tokens(F.col("symbol_path")).alias("_s"))
-    count = lambda where, term: F.size(F.filter(where, lambda w: w == term))
-    t = t.select("chunk_id", (F.size("_b") + F.size("_s")).alias("_n"), *[(count("_b", q) + SYMBOL_WEIGHT * count("_s", q)).alias(f"_f{k}") for k, q in enumerate(terms)])
+    # words are only made where a term occurs at all; the length is counted without them
+    count = lambda text, term: F.when(F.contains(F.lower(text), F.lit(term)), F.size(F.filter(tokens(text), lambda w: w == term))).otherwise(0)
+    body, path = F.coalesce("text", F.lit("")), F.coalesce("symbol_path", F.lit(""))
+    t = chunks.select("chunk_id", (token_count(body) + token_count(path)).alias("_n"), *[(count(body, q) + SYMBOL_WEIGHT * count(path, q)).alias(f"_f{k}") for k, q in enumerate(terms)])
     stats = t.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
     idf = lambda k: F.log(1 + (F.col("_docs") - F.col(f"_d{k}") + 0.5) / (F.col(f"_d{k}") + 0.5))
     score = F.lit(0.0)
@@ -93,6 +95,7 @@ def fuse(signals: dict[str, DataFrame], weights: Weights) -> DataFrame:
 def hybrid(chunks: DataFrame, embedded: DataFrame, query: str, vector: DataFrame, top_k: int = 20, weights: Weights = Weights()) -> DataFrame:
     """The best chunks with their signals, path, symbol, kind, line and text."""
     signals = {"bm25": bm25(chunks, query), "trigram": trigram(chunks, query), "cosine": cosine(embedded, vector)}
+    signals = {name: shared(df, name) for name, df in signals.items()}  # ranks and the ceiling read each several times
     best = fuse(signals, weights).orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(top_k)
     return chunks.join(F.broadcast(best), "chunk_id").select("chunk_id", "score", "bm25", "trigram", "cosine", "file_path", "symbol_path", "kind", "start_line", "text")
 
