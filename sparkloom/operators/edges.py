@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import leaf
-from ..plans.session import shared
+from ..plans.session import shared, shared_dir
 
 
 class QueryError(ValueError):
@@ -115,18 +116,22 @@ def query_nodes(nodes: DataFrame, query: str, limit: int | None = 50) -> DataFra
     return out if limit is None else out.orderBy("file", "node_id", "capture").limit(limit)
 
 
-def flatten(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten(nodes: DataFrame) -> DataFrame:
     """file, node_id and path: every node's kind after those of the nodes above, joined by dots.
 
     One level at a time, each written before the next; ends at the first empty level.
+    `nodes` has parents, which precede their children, so there is an empty level.
+    The levels lie in one folder and are read at once: the plan doesn't grow with the depth.
     """
     n = shared(nodes.select("file", "node_id", "kind", "parent_id"), "nodes")
+    spark, folder, depth = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/levels-{uuid.uuid4().hex}", 0
     level = n.filter("parent_id IS NULL").select("file", "node_id", F.col("kind").alias("path"))
-    found = level = shared(level, "level")
-    for _ in range(max_depth):
-        up = level.select("file", F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = shared(n.join(up, ["file", "parent_id"]).select("file", "node_id", F.concat_ws(".", "above", "kind").alias("path")), "level")
+    while True:
+        level.write.parquet(f"{folder}/level={depth}")
+        level = spark.read.schema(level.schema).parquet(f"{folder}/level={depth}")
         if level.isEmpty():
             break
-        found = found.unionByName(level)
-    return found
+        up = level.select("file", F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
+        level = n.join(up, ["file", "parent_id"]).select("file", "node_id", F.concat_ws(".", "above", "kind").alias("path"))
+        depth += 1
+    return spark.read.schema(level.schema).parquet(folder).select("file", "node_id", "path")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import glob_regex, query_tokens, safe_path, tokens, with_fuzzy
 from sparkloom.operators import diagnostics, duplicates, graph, grep, layers, maintain, search, symbols
+from sparkloom.operators.edges import flatten, with_parents
 
 EDGE = "edge_id long, caller_id long, callee_id long, file_path string, from_ranges string, source string"
 SYMBOL = "symbol_id long, name string, kind string, file_path string, start_line int, start_column int, end_line int, end_column int, detail string"
@@ -198,3 +199,10 @@ def test_interleave(spark):
 def test_safe_path(spark):
     df = spark.createDataFrame([("a/b",), ("/a",), ("~/a",), ("a/../b",), ("a..b",)], "p string")
     assert [r.s for r in df.select(safe_path(F.col("p")).alias("s")).collect()] == [True, False, False, False, True]
+
+
+def test_flatten_reaches_every_level(spark):
+    chain = [(f, k, f"k{k}", k) for f, n in ((1, 100), (2, 3)) for k in range(n)]
+    got = {(r.file, r.node_id): r.path for r in flatten(with_parents(spark.createDataFrame(chain, "file int, node_id int, kind string, depth int"))).collect()}
+    assert got == {(f, k): ".".join(f"k{i}" for i in range(k + 1)) for f, k, *_ in chain}
+    assert flatten(with_parents(spark.createDataFrame([], "file int, node_id int, kind string, depth int"))).collect() == []
