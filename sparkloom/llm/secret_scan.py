@@ -2,15 +2,22 @@
 
 Ordinary text takes few tokens a character; random strings take many.  A
 *candidate* is a run of at least `MIN_RUN` characters of the alphabets of keys
-that holds a letter and a digit, or a value of at least `MIN_VALUE` characters
-that is assigned to a name such as password, token or api_key.  Its characters
-per token under the vocabulary tell: under `RATIO` (or `RATIO_ASSIGNED` for an
-assigned value, where the name is evidence too) it is a secret, unless it is
+that holds a letter, a value of at least `MIN_VALUE` characters that is assigned
+to a name such as password, token or api_key, or a JSON web token (dotted segments
+of base64url, the first an object).  Its characters per token under the vocabulary
+tell: under `RATIO` (or `RATIO_ASSIGNED` for an assigned value and a JSON web token,
+where the name or form is evidence too) it is a secret, unless it is
 
 * a digest: hexadecimal of the length of a known hash, alone or after a word
   such as commit, sha256 or checksum (but not as a value of a secret's name);
-* an identifier: a UUID not given to a secret's name; a path, URL or domain;
-  words, numbers and camel-case parts joined by _ - . or /; a number.
+* an identifier: a UUID not given to a secret's name; a path; what follows a . or =
+  in a URL, domain or query, but for the value of a secret's name; words, numbers and
+  camel-case parts joined by _ - . or /; a number.  Camel case of letters alone is
+  left to the characters per token: random letters often read as short words.
+
+A word in capitals counts the tokens of its small letters, if these are fewer, and
+is none amid text in capitals.  Runs
+that are found and joined by dots, such as keys of two parts, are one secret.
 
 The vocabulary is read on the driver and broadcast as bytes (under 1 MB).  Rows
 without any candidate never leave the JVM.
@@ -23,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,12 +44,17 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MIN_RUN, MIN_VALUE, RATIO, RATIO_ASSIGNED = 16, 8, 2.2, 2.8
 MASK = "[SECRET]"
 
-#: Every candidate holds a match of both; the first, cheap one is tried first.
-PREFILTER = r"[0-9:=]", r"[A-Za-z0-9+/_\-]{16}|[:=]\s{0,3}[^\s]{8}"
+#: Every candidate holds a match of this.
+PREFILTER = r"[A-Za-z0-9+/_\-]{16}|[:=]\s{0,3}[^\s]{8}"
 _RUN = re.compile(rf"[A-Za-z0-9+/_\-]{{{MIN_RUN},}}={{0,2}}")
 _VALUE = re.compile(rf"[:=]\s{{0,3}}(?:[Bb]earer\s)?[\"'`]?([^\s\"'`,;<>]{{{MIN_VALUE},}})")
 _NAME = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|bearer|(?<![a-z])(?:auth|(?:[a-z0-9]{1,20}[_\-]?)?key))[\"']?\s{0,3}:?$")
 _DIGEST_WORD = re.compile(r"(?i)(?:sha-?(?:1|224|256|384|512)?|md5|commit|checksum|digest|hash|etag|revision|rev|integrity|fingerprint|blake2b?|crc32)[\"']?\s{0,2}[:=\s#-]\s{0,3}[\"']?$")
+_JWT = re.compile(r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{13,}+(?:\.[A-Za-z0-9_\-]*+){1,4}(?<!\.)")
+_URL = re.compile(r"://[^\s\"'<>`]+|(?<![\w.\-])(?:[A-Za-z0-9\-]{1,63}\.){1,8}(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|app|dev|cloud|online|site|shop|tech|xyz|blog|page|local|internal)(?![\w\-])(?::\d{1,5})?(?:[/?#][^\s\"'<>`]*)?")
+_QUERY = re.compile(r"[?&][\w.%\-\[\]]{1,64}=$")
+_NUMBER = re.compile(r"\d+(?:[_\-]\d+)*(?:[eE][+\-]?\d+)?[A-Za-z]{0,3}")
+_BETWEEN = re.compile(r"\.(?:[A-Za-z0-9_\-]+\.)?")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _PART = re.compile(r"([A-Za-z]*)(\d{0,8})")
@@ -86,20 +99,49 @@ def scan(text: str, encode, ratio: float = RATIO, ratio_assigned: float = RATIO_
         taken.append((a, b))
         if n and len(value) / n < ratio_assigned and not (value.isdigit() and len(value) < 12):
             found.append((a, b, "assigned", n, len(value) / n))
+    for m in _JWT.finditer(text):
+        a, b = m.span()
+        if any(x < b and a < y for x, y in taken):
+            continue
+        n = len(encode(m[0]))
+        if (b - a) / n < ratio_assigned:
+            taken.append((a, b))
+            found.append((a, b, "run", n, (b - a) / n))
+    urls = None
+    runs: list[tuple[int, int, int]] = []
     for m in _RUN.finditer(text):
         a, b = m.span()
         value = m[0]
-        if a and text[a - 1] in "=." or any(x < b and a < y for x, y in taken):
+        if any(x < b and a < y for x, y in taken):
             continue
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        if not any(c.isalpha() for c in value):
             continue
         if _HEX.fullmatch(value) and len(value) in _LENGTHS or _UUID.fullmatch(value) or _DIGEST_WORD.search(text[max(0, a - 40) : a]):
             continue
-        if _identifier(value):
+        letters = value.isalpha()
+        if _identifier(value.lower() if letters and value.istitle() else value) and not (letters and len(_WORD.findall(value)) > 1):
             continue
         n = len(encode(value))
-        if len(value) / n < ratio:
-            found.append((a, b, "run", n, len(value) / n))
+        if letters and value.isupper():
+            around = [c for c in text[max(0, a - 12) : a] + text[b : b + 12] if c.isalpha()]
+            if len(around) >= 4 and all(c.isupper() for c in around):
+                continue
+            n = min(n, len(encode(value.lower())))
+        if len(value) / n >= ratio:
+            continue
+        if a and text[a - 1] in "=.":
+            if _NUMBER.fullmatch(value):
+                continue
+            if not _NAME.search(text, max(0, a - 49), a - 1):
+                urls = [u.span() for u in _URL.finditer(text)] if urls is None else urls
+                at = bisect(urls, (a, -1)) - 1
+                if at >= 0 and a < urls[at][1] or _QUERY.search(text[max(0, a - 66) : a]):
+                    continue
+        if runs and _BETWEEN.fullmatch(text, runs[-1][1], a):
+            a = runs.pop()[0]
+            n = len(encode(text[a:b]))
+        runs.append((a, b, n))
+    found += [(a, b, "run", n, (b - a) / n) for a, b, n in runs]
     return sorted(found)
 
 
@@ -118,7 +160,7 @@ def _vocabulary(spark: SparkSession, path: str):
 
 
 def _possible(text: Column) -> Column:
-    return text.rlike(PREFILTER[0]) & text.rlike(PREFILTER[1])
+    return text.rlike(PREFILTER)
 
 
 def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
