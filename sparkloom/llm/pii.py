@@ -4,7 +4,8 @@ Regular expressions propose spans: e-mail addresses, telephone numbers, payment
 cards, IBANs, US social security numbers, Spanish and French national numbers, IPv4
 addresses.  A validator confirms or refutes each: Luhn for cards, mod 97 with the
 country's length for IBANs, mod 97 and mod 23 for the national numbers, assignment rules for
-the others.  Words near the span that name its kind (in English, French, German
+the others.  A telephone number after + may be grouped in any way; one without + that
+no other form confirms, bare or of few groups, has a low score.  Words near the span that name its kind (in English, French, German
 and Spanish) raise the score.  Spans of a score of at least `LEAST` are
 reported; of overlapping ones the best, then the longest, then the first.
 
@@ -25,7 +26,7 @@ from .common import take
 
 LEAST, NEAR = 0.5, 48
 #: Every pattern's match holds a match of this.
-PREFILTER = r"[A-Za-z0-9]@[A-Za-z0-9]|[0-9][0-9 ().\-]{4,}[0-9]|[A-Za-z]{2}[0-9]{2} ?[A-Za-z0-9]{4}|[0-9XYZxyz][0-9]{6,7}-?[A-Za-z]"
+PREFILTER = r"[A-Za-z0-9]@[A-Za-z0-9]|[0-9][0-9 ()./\-]{4,}[0-9]|[A-Za-z]{2}[0-9]{2} ?[A-Za-z0-9]{4}|[0-9XYZxyz][0-9]{6,7}-?[A-Za-z]"
 
 _IBAN_LENGTH = {k: int(n) for k, n in re.findall(r"([A-Z]{2})(\d\d)", "AD24 AE23 AT20 BE16 BG22 CH21 CY28 CZ24 DE22 DK18 EE20 ES24 FI18 FR27 GB22 GR27 HR21 HU28 IE22 IL23 IS26 IT27 LI21 LT20 LU20 LV21 MC27 MT31 NL18 NO15 PL28 PT25 RO24 SA24 SE24 SI19 SK24 SM27 TR26")}
 
@@ -61,6 +62,10 @@ def _phone(m: re.Match) -> tuple[float, bool | None]:
     return 0.3, None
 
 
+def _local(m: re.Match) -> tuple[float, bool | None]:
+    return min(0.3, _phone(m)[0]), None
+
+
 def _card(m: re.Match) -> tuple[float, bool | None]:
     d = re.sub(r"\D", "", m[0])
     if not luhn(d) or len(set(d)) < 2:
@@ -99,9 +104,12 @@ def _ip(m: re.Match) -> tuple[float, bool | None]:
     return (0.2 if private else 0.55), not private
 
 
+_PHONE_WORDS = r"phone|call|tel\b|tel\.|mobile|cell|fax|telefon|anruf|handy|téléphone|portable|appel|teléfono|móvil|llam"
 _KINDS = [
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}(?![A-Za-z0-9\-])", _email, r"mail|contact|kontakt|contacto|correo|courriel|adresse|reach|write"),
-    ("phone", r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?![\w]|[.\-]\d)", _phone, r"phone|call|tel\b|tel\.|mobile|cell|fax|telefon|anruf|handy|téléphone|portable|appel|teléfono|móvil|llam"),
+    ("phone", r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?![\w]|[.\-]\d)", _phone, _PHONE_WORDS),
+    ("phone", r"(?<![\w.+])\+\d(?:(?:[ .\-/]?\(|\)[ .\-/]?|[ .\-/])?\d){5,13}\d(?!\w|[.\-]\d)", _phone, _PHONE_WORDS),
+    ("phone", r"(?<![\w.+])(?<!\d[\-/])(?:\d{7,15}|(?:\(\d{2,6}\)[ .\-/]?|\d{2,6}[ .\-/])\d{2,10}(?:[ .\-/]\d{2,10}){0,3})(?!\w|[.\-/]\d)", _local, _PHONE_WORDS),
     ("card", r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w])", _card, r"card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|payment|kredit"),
     ("iban", r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])", _iban, r"iban|account|konto|compte|cuenta|bank|transfer|überweis|virement"),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", _ssn, r"ssn|social security|taxpayer"),

@@ -24,6 +24,14 @@ def test_context_raises_the_score():
     assert with_[3] > without[3] and with_[5] and not without[5]
 
 
+def test_telephone_numbers_of_any_grouping():
+    for x in ("+14155551234", "+34612345678", "+49 30 1234567", "+33 1 23 45 67 89", "+49 (0) 30 123456", "+44 7700 900123", "+1 (202) 555-0147"):
+        assert kinds(f"xx {x} now") == kinds(f"xx {x}. 5 now") == kinds(f"call {x} 5 times") == [("phone", x)], x
+    for x in ("4155551234", "030 12345678", "07700 900123", "0151/12345678", "07700 900 123", "(030) 12345678", "030-1234567"):
+        assert kinds(f"phone: {x} now") == [("phone", x)] and kinds(f"xx {x} now") == [], x
+    assert kinds("phone 123456 or +123456") == kinds("phone 1234567890123456") == []
+
+
 def test_table(spark, table, odd_rows):
     df = table([*odd_rows, (20, "mail a.b@c.org"), (20, "mail a.b@c.org"), (None, "mail a.b@c.org"), (21, "z " * 200_000 + "mail a.b@c.org")])
     got = sorted(((r.doc_id, r.start) for r in pii.personal_data(df).collect()), key=repr)
