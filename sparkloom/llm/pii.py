@@ -73,6 +73,26 @@ def _card(m: re.Match) -> tuple[float, bool | None]:
     return (0.9 if re.match(r"4|5[1-5]|2[2-7]|3[4-7]|6(?:011|5|4)", d) else 0.6), True
 
 
+_CARD_START = re.compile(r"(?<![\w.])\d(?=(?:[ \-]?\d){12})")
+_CARD_LENGTHS = [re.compile(rf"\d(?:[ \-]?\d){{{n - 1}}}(?!\w)") for n in range(19, 12, -1)]
+
+
+def _cards(text: str) -> Iterator[re.Match]:
+    """At each start the longest of 13 to 19 digits, ending with a group, that passes Luhn, or the longest at all; goes on behind a card of a known issuer, else at the next start."""
+    at = 0
+    while start := _CARD_START.search(text, at):
+        at, longest = start.end(), None
+        for p in _CARD_LENGTHS:
+            if m := p.match(text, start.start()):
+                longest = longest or m
+                score, ok = _card(m)
+                if ok:
+                    longest, at = m, m.end() if score > 0.6 else at
+                    break
+        if longest:
+            yield longest
+
+
 def _iban(m: re.Match) -> tuple[float, bool | None]:
     ok = iban(m[0].replace(" ", "").upper())
     return (0.95 if ok else 0.1), ok
@@ -110,21 +130,21 @@ _KINDS = [
     ("phone", r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?![\w]|[.\-]\d)", _phone, _PHONE_WORDS),
     ("phone", r"(?<![\w.+])\+\d(?:(?:[ .\-/]?\(|\)[ .\-/]?|[ .\-/])?\d){5,13}\d(?!\w|[.\-]\d)", _phone, _PHONE_WORDS),
     ("phone", r"(?<![\w.+])(?<!\d[\-/])(?:\d{7,15}|(?:\(\d{2,6}\)[ .\-/]?|\d{2,6}[ .\-/])\d{2,10}(?:[ .\-/]\d{2,10}){0,3})(?!\w|[.\-/]\d)", _local, _PHONE_WORDS),
-    ("card", r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w])", _card, r"card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|payment|kredit"),
+    ("card", _cards, _card, r"card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|payment|kredit"),
     ("iban", r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])", _iban, r"iban|account|konto|compte|cuenta|bank|transfer|überweis|virement"),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", _ssn, r"ssn|social security|taxpayer"),
     ("dni", r"(?<![A-Za-z0-9])(?:\d{8}|[XYZxyz]\d{7})-?[A-Za-z](?![A-Za-z0-9])", _dni, r"dni|nie|nif|documento|identidad"),
     ("nir", r"(?<!\d)[12] ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3} ?\d\d(?!\d)", _nir, r"sécu|sociale|nir\b|insee"),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip, r"\bip\b|address|host|server|adresse|dirección|login|logged"),
 ]
-_KINDS = [(k, re.compile(p), f, re.compile(c, re.I)) for k, p, f, c in _KINDS]
+_KINDS = [(k, re.compile(p).finditer if isinstance(p, str) else p, f, re.compile(c, re.I)) for k, p, f, c in _KINDS]
 
 
 def spans(text: str, least: float = LEAST) -> list[tuple[int, int, str, float, bool | None, bool]]:
     """(start, end, kind, score, checksum, context), by start."""
     got = []
-    for kind, pattern, judge, words in _KINDS:
-        for m in pattern.finditer(text):
+    for kind, propose, judge, words in _KINDS:
+        for m in propose(text):
             score, checked = judge(m)
             near = bool(words.search(text, max(0, m.start() - NEAR), m.start()) or words.search(text, m.end(), m.end() + NEAR // 2))
             score = round(min(1.0, score + 0.25 * near * (checked is not False)), 2)

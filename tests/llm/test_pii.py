@@ -32,6 +32,15 @@ def test_telephone_numbers_of_any_grouping():
     assert kinds("phone 123456 or +123456") == kinds("phone 1234567890123456") == []
 
 
+def test_cards_next_to_other_digits():
+    for card in ("4111 1111 1111 1111", "4111111111111111", "5555-5555-5555-4444", "378282246310005"):
+        for before, behind in (("", " 123"), ("", " 12/27"), ("12 ", ""), ("12 ", " 123"), ("no. 7 ", " 12-27"), ("", " 99")):
+            assert any(k == "card" and card in x for k, x in kinds(f"paid {before}{card}{behind} ok")), (before, card, behind)
+    assert kinds("paid 4111 1111 1111 1111 123 ok") == kinds("paid 4111 1111 1111 1111 12/27 ok") == [("card", "4111 1111 1111 1111")]
+    assert kinds("4111111111111111 4111111111111111") == [("card", "4111111111111111")] * 2
+    assert kinds("paid 4111111111111112 123 ok") == kinds("x4111111111111111") == []
+
+
 def test_table(spark, table, odd_rows):
     df = table([*odd_rows, (20, "mail a.b@c.org"), (20, "mail a.b@c.org"), (None, "mail a.b@c.org"), (21, "z " * 200_000 + "mail a.b@c.org")])
     got = sorted(((r.doc_id, r.start) for r in pii.personal_data(df).collect()), key=repr)
