@@ -21,15 +21,18 @@ def resolve(sites: DataFrame, chunks: DataFrame) -> DataFrame:
 
     The caller is the narrowest chunk around the site.  A callee's path is the name, or
     ends in it after a dot in any case; it isn't the caller itself.  Candidates
-    are ordered by same file first, then file and line.  Only one (file, path) is ever
-    excluded, so two candidates for each name, and two for each name and file, are enough.
+    are ordered by same file first, then file and line.  Dotted candidates fit a name in
+    any case, undotted ones only their own path, so these are ranked for each path and those
+    for each lower-cased leaf.  Of either, only one (file, path) is ever excluded (the caller),
+    so the first two, and the first two in each file, are enough.
     """
     c = chunks.select("chunk_id", "file_path", "start_line", "end_line", "symbol_path")
     named = c.select(F.lower(leaf(F.col("symbol_path"))).alias("key"), F.contains(F.col("symbol_path"), F.lit(".")).alias("dotted"), "file_path", "start_line", "symbol_path")
     named = named.groupBy("key", "dotted", "file_path", "symbol_path").agg(F.min("start_line").alias("start_line"))
     order = [F.col("start_line"), F.col("symbol_path")]
-    near = named.withColumn("n", F.row_number().over(Window.partitionBy("key", "file_path").orderBy(*order))).filter("n <= 2")
-    far = named.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("file_path", *order))).filter("n <= 2")
+    group = ["key", "dotted", F.when(~F.col("dotted"), F.col("symbol_path"))]
+    near = named.withColumn("n", F.row_number().over(Window.partitionBy(*group, "file_path").orderBy(*order))).filter("n <= 2")
+    far = named.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("file_path", *order))).filter("n <= 2")
     s, h = sites.alias("s"), c.alias("h")
     inside = s.join(h, (F.col("s.file_path") == F.col("h.file_path")) & (F.col("h.start_line") <= F.col("s.line")) & (F.col("h.end_line") >= F.col("s.line")))
     w = Window.partitionBy("site_id").orderBy(F.col("h.end_line") - F.col("h.start_line"), "h.chunk_id")

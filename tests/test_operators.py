@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import glob_regex, query_tokens, safe_path, tokens, with_fuzzy
 from sparkloom.operators import diagnostics, duplicates, graph, grep, layers, maintain, search, symbols
-from sparkloom.operators.edges import flatten, with_parents
+from sparkloom.operators.edges import flatten, resolve, with_parents
 
 EDGE = "edge_id long, caller_id long, callee_id long, file_path string, from_ranges string, source string"
 SYMBOL = "symbol_id long, name string, kind string, file_path string, start_line int, start_column int, end_line int, end_column int, detail string"
@@ -206,3 +206,11 @@ def test_flatten_reaches_every_level(spark):
     got = {(r.file, r.node_id): r.path for r in flatten(with_parents(spark.createDataFrame(chain, "file int, node_id int, kind string, depth int"))).collect()}
     assert got == {(f, k): ".".join(f"k{i}" for i in range(k + 1)) for f, k, *_ in chain}
     assert flatten(with_parents(spark.createDataFrame([], "file int, node_id int, kind string, depth int"))).collect() == []
+
+
+def test_call_edges_with_names_that_differ_in_case(spark):
+    paths = [("a", "New"), ("a", "NEW"), ("a", "nEw"), ("b", "New"), ("b", "new"), ("c", "new"), ("d", "X.new"), ("e", "New"), ("e", "NEW"), ("e", "Y.new"), ("f", "call")]
+    chunks = spark.createDataFrame([(k, f, 10 * k, 10 * k + 5, p) for k, (f, p) in enumerate(paths)], "chunk_id int, file_path string, start_line int, end_line int, symbol_path string")
+    sites = spark.createDataFrame([(1, "f", 101, "new"), (2, "b", 41, "new"), (3, "e", 71, "new"), (4, "f", 101, "neW"), (5, "f", 101, "none")], "site_id int, file_path string, line int, name string")
+    got = {r.site_id: (r.callee_file, r.callee_path) for r in resolve(sites, chunks).collect()}
+    assert got == {1: ("b", "new"), 2: ("c", "new"), 3: ("e", "Y.new"), 4: ("d", "X.new")}
