@@ -26,7 +26,7 @@ from .common import take
 
 LEAST, NEAR = 0.5, 48
 #: Every pattern's match holds a match of this.
-PREFILTER = r"[A-Za-z0-9]@[A-Za-z0-9]|[0-9][0-9 ()./\-]{4,}[0-9]|[A-Za-z]{2}[0-9]{2} ?[A-Za-z0-9]{4}|[0-9XYZxyz][0-9]{6,7}-?[A-Za-z]"
+PREFILTER = r"[A-Za-z0-9._%+\-]@[A-Za-z0-9\-]|[0-9][0-9 ()./\-]{4,}[0-9]|[A-Za-z]{2}[0-9]{2} ?[A-Za-z0-9]{4}|[0-9XYZxyz][0-9]{6,7}-?[A-Za-z]"
 
 _IBAN_LENGTH = {k: int(n) for k, n in re.findall(r"([A-Z]{2})(\d\d)", "AD24 AE23 AT20 BE16 BG22 CH21 CY28 CZ24 DE22 DK18 EE20 ES24 FI18 FR27 GB22 GR27 HR21 HU28 IE22 IL23 IS26 IT27 LI21 LT20 LU20 LV21 MC27 MT31 NL18 NO15 PL28 PT25 RO24 SA24 SE24 SI19 SK24 SM27 TR26")}
 
