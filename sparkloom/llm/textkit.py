@@ -61,6 +61,27 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    count = np.asarray(count)
+    end = np.cumsum(count, dtype=np.int64)
+    return np.repeat(first - (end - count), count) + np.arange(int(end[-1]) if len(end) else 0)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of adjoining spans of bytes, none empty: end[k] is start[k + 1]."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    begin = start - start[0]
+    inside = np.arange(int(end[-1] - start[0]), dtype=np.int32)
+    inside -= np.repeat(begin.astype(np.int32), size)
+    inside &= 0xFFFF
+    part = _POWERS[inside]
+    part *= data[start[0] : end[-1]].astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(part, begin) + size.astype(np.uint64) * _BASE)
+
+
 class Words:
     """The words of some texts: `doc`, `start`, `end` and 64-bit hash `h` of each."""
 
