@@ -24,6 +24,17 @@ def take(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"c{have.index(n)}").alias(n) for n in names])
 
 
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def whole_ids(df: DataFrame, name: str) -> DataFrame:
+    """The table with this column as long; a column of another type than whole numbers is refused."""
+    kind = dict(df.dtypes)[name]
+    if kind not in _WHOLE and kind != "void":
+        raise ValueError(f"ids must be whole numbers, not {kind}")
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def flat(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """The table with its columns named `c0`, `c1`, ... and the names that they had."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
@@ -33,9 +44,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset and the master is local."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
@@ -88,8 +101,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     spread over the table and the same in every run.  Rows with a null id,
     label or text don't count; of repeated ids one row does.
     """
-    y = take(labels, id_col, label).toDF("id", "y").withColumn("id", F.col("id").cast("long")).filter("id IS NOT NULL AND y IN (0, 1)")
+    y = whole_ids(take(labels, id_col, label).toDF("id", "y"), "id").filter("id IS NOT NULL AND y IN (0, 1)")
     y = y.groupBy("id").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(bound)
-    d = take(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long")).filter("text IS NOT NULL")
-    pdf = d.join(F.broadcast(y), "id").toPandas()
-    return pdf.sort_values(["id", "text"]).drop_duplicates("id").reset_index(drop=True)
+    d = whole_ids(take(docs, id_col, text_col).toDF("id", "text"), "id").filter("text IS NOT NULL")
+    return d.join(F.broadcast(y), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("id").reset_index(drop=True)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sparkloom.llm import block_ann as ba
 
@@ -35,6 +36,22 @@ def test_same_as_brute_force(spark):
     assert got == brute(ids, x, 5)
 
 
+def test_queries_among_all_rows_in_chunks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 12)).astype(np.float32)
+    x *= 10.0 ** rng.integers(-30, 30, (700, 1))  # a vector's length doesn't matter
+    ids = list(range(-100, 600))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id int, embedding array<float>")
+    got = {(r.vec_id, r["rank"], r.neighbour_id) for r in ba.neighbours(df, k=4, every=10, rows=32, chunk_bytes=12 * 4 * 20, shares=3).collect()}
+    assert got == {t for t in brute(ids, x, 4) if t[0] % 10 == 0} and len(got) == 70 * 4
+
+
+def test_ids_must_be_whole_numbers(spark):
+    df = spark.createDataFrame([("b2", [1.0, 0.0])], "vec_id string, embedding array<float>")
+    with pytest.raises(ValueError, match="whole numbers"):
+        ba.neighbours(df)
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert {(r.vec_id, r.neighbour_id) for r in ba.neighbours(df).collect()} == {(1, 2), (2, 1)}
