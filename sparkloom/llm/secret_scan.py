@@ -22,15 +22,19 @@ that are found and joined by dots, such as keys of two parts, are one secret.
 The vocabulary is read on the driver and broadcast as bytes (under 1 MB).  Rows
 without any candidate never leave the JVM.
 
-Nulls: a null or empty text has no secret.  Repeated rows are reported once for each
-row.  Texts are scanned whole; a run may have any length.
+Nulls: a null or empty text has no secret; a null id is reported as it is.  Repeated
+rows are reported once for each row.  Texts are scanned whole; a run may have any
+length.  There are no ties: secrets are reported by their start and don't overlap; where
+an assigned value and a run overlap, the value counts.  An empty table gives an empty
+result; further columns, whatever their names, are left out by `secrets` and kept as
+they are by `mask_secrets`.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect
+from bisect import bisect, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,8 +48,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MIN_RUN, MIN_VALUE, RATIO, RATIO_ASSIGNED = 16, 8, 2.2, 2.8
 MASK = "[SECRET]"
 
-#: Every candidate holds a match of this.
-PREFILTER = r"[A-Za-z0-9+/_\-]{16}|[:=]\s{0,3}[^\s]{8}"
+#: What \s is in Python; Java's is less.
+_SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Every candidate holds a match of this, also in Java: the form of `_RUN` at its shortest, or that of `_VALUE`.
+PREFILTER = rf"[A-Za-z0-9+/_\-]{{16}}|[:=][{_SPACE}]{{0,3}}(?:[Bb]earer[{_SPACE}])?[\"'`]?[^\s\"'`,;<>]{{8}}"
 _RUN = re.compile(rf"[A-Za-z0-9+/_\-]{{{MIN_RUN},}}={{0,2}}")
 _VALUE = re.compile(rf"[:=]\s{{0,3}}(?:[Bb]earer\s)?[\"'`]?([^\s\"'`,;<>]{{{MIN_VALUE},}})")
 _NAME = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|bearer|(?<![a-z])(?:auth|(?:[a-z0-9]{1,20}[_\-]?)?key))[\"']?\s{0,3}:?$")
@@ -82,6 +88,12 @@ def _identifier(s: str) -> bool:
     return not words or sum(map(len, words)) / len(words) >= 3 and max(len(w) - 10 * w.islower() for w in words) <= 12
 
 
+def _free(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a to b overlaps none of the ascending spans, which don't overlap one another."""
+    k = bisect(spans, (b, -1)) - 1
+    return k < 0 or spans[k][1] <= a
+
+
 def scan(text: str, encode, ratio: float = RATIO, ratio_assigned: float = RATIO_ASSIGNED) -> list[tuple[int, int, str, int, float]]:
     """(start, end, kind, tokens, characters per token) of the secrets, by start and without overlap."""
     found: list[tuple[int, int, str, int, float]] = []
@@ -101,18 +113,18 @@ def scan(text: str, encode, ratio: float = RATIO, ratio_assigned: float = RATIO_
             found.append((a, b, "assigned", n, len(value) / n))
     for m in _JWT.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for x, y in taken):
+        if not _free(taken, a, b):
             continue
         n = len(encode(m[0]))
         if (b - a) / n < ratio_assigned:
-            taken.append((a, b))
+            insort(taken, (a, b))
             found.append((a, b, "run", n, (b - a) / n))
     urls = None
     runs: list[tuple[int, int, int]] = []
     for m in _RUN.finditer(text):
         a, b = m.span()
         value = m[0]
-        if any(x < b and a < y for x, y in taken):
+        if not _free(taken, a, b):
             continue
         if not any(c.isalpha() for c in value):
             continue

@@ -5,6 +5,7 @@ import uuid
 
 import pytest
 
+from sparkloom.llm import bpe
 from sparkloom.llm import secret_scan as ss
 
 KEY = "q7Zt9LxV2mKw8RbN4cYd6FhJ1gPs"
@@ -72,6 +73,35 @@ def test_long_run_is_scanned_whole(encode):
     assert kinds("a " * 50_000 + key, encode) == [(key, "run")]
 
 
+def test_bearer_and_odd_spaces(spark, table, encode):
+    texts = ["token: Bearer a1b2x3d4", "token:\u00a0\u2003 q7Zt9LxV", "password=\x1f'zK9$xq2L'", "secret :\n\t bearer\u3000Zq9xV7Lt", "plain words"]
+    got = {(r.doc_id, r.start, r.end) for r in ss.secrets(table(list(enumerate(texts)))).collect()}
+    assert got == {(k, a, b) for k, t in enumerate(texts) for a, b, *_ in ss.scan(t, encode)} and {g[0] for g in got} == {0, 1, 2, 3}
+
+
+def test_same_as_a_scan_of_every_row(spark, table, encode):
+    """No row that holds a secret is lost before the scan, and tokens are counted as by the tokenizer, pair by pair."""
+    rng = random.Random(9)
+    pieces = ["token", "key", "password", "sha256", ":", "=", " ", "  ", "\n", "\u00a0", "\x1c", "Bearer ", "bearer\t", '"', "'", "`", ".", ",", "/", "-", "eyJ", "https://x.org/", "?id=", "the", "WORD", "naïve"]
+    texts = []
+    for _ in range(2500):
+        parts = [rng.choice(pieces) if rng.random() < 0.7 else "".join(rng.choices(string.ascii_letters + string.digits + "+/_-", k=rng.randint(1, 24))) for _ in range(rng.randint(1, 14))]
+        texts.append("".join(parts))
+    got = sorted(tuple(r) for r in ss.secrets(table(list(enumerate(texts)))).collect())
+    assert got == sorted((k, *x) for k, t in enumerate(texts) for x in ss.scan(t, encode)) and len(got) > 300
+    with open(ss.VOCABULARY, "rb") as f:
+        codec = bpe.Codec(f.read())
+    for k, a, b, kind, n, ratio in got:
+        assert n <= len(codec.encode(texts[k][a:b])) and ratio == (b - a) / n < (ss.RATIO_ASSIGNED if kind == "assigned" or "eyJ" in texts[k] else ss.RATIO + 0.6)
+
+
+def test_overlaps_and_many_secrets(encode):
+    assert kinds(f"token={KEY}.{KEY}", encode) == [(f"{KEY}.{KEY}", "assigned")]
+    text = " ".join(f"token={KEY[k % 9:]} {KEY[::-1]}{k}" for k in range(3000))
+    found = ss.scan(text, encode)
+    assert len(found) == 6000 and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
 def test_table(spark, table, odd_rows):
     df = table([*odd_rows, (20, f"token = {KEY} end"), (20, f"token = {KEY} end")])
     got = [(r.doc_id, r.start, r.end) for r in ss.secrets(df).collect()]
