@@ -10,12 +10,15 @@ and Spanish) raise the score.  Spans of a score of at least `LEAST` are
 reported; of overlapping ones the best, then the longest, then the first.
 
 Rows in which no pattern could match never leave the JVM.  Nulls: a null or
-empty text has none.  Repeated rows are reported once for each row.
+empty text has none; a null id is reported as it is.  Repeated rows are reported once
+for each row.  Texts are scanned whole, however long.  An empty table gives an empty
+result; further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,6 +96,20 @@ def _cards(text: str) -> Iterator[re.Match]:
             yield longest
 
 
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}(?=\d{2} ?[A-Za-z0-9]{4})")
+_IBAN_FORMS = {n: re.compile(rf"[A-Za-z]{{2}}\d{{2}}(?: ?[A-Za-z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Za-z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![A-Za-z0-9])") for n in set(_IBAN_LENGTH.values())}
+
+
+def _ibans(text: str) -> Iterator[re.Match]:
+    """What begins like an IBAN and has its country's length, whatever words follow."""
+    at = 0
+    while start := _IBAN_START.search(text, at):
+        at = start.end()
+        form = _IBAN_FORMS.get(_IBAN_LENGTH.get(start[0].upper(), 0))
+        if form and (m := form.match(text, start.start())):
+            yield m
+
+
 def _iban(m: re.Match) -> tuple[float, bool | None]:
     ok = iban(m[0].replace(" ", "").upper())
     return (0.95 if ok else 0.1), ok
@@ -124,16 +141,16 @@ def _ip(m: re.Match) -> tuple[float, bool | None]:
     return (0.2 if private else 0.55), not private
 
 
-_PHONE_WORDS = r"phone|call|tel\b|tel\.|mobile|cell|fax|telefon|anruf|handy|téléphone|portable|appel|teléfono|móvil|llam"
+_PHONE_WORDS = r"phone|\bcall(?:s|ed|ing|me|us)?\b|\btel\b|\bmobil|\bcell(?:ular)?\b|\bfax|telefon|\banruf|\bruf|\bhandy|téléphone|\bportable\b|\bappel|teléfono|\bmóvil|\bllam"
 _KINDS = [
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}(?![A-Za-z0-9\-])", _email, r"mail|contact|kontakt|contacto|correo|courriel|adresse|reach|write"),
     ("phone", r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}(?![\w]|[.\-]\d)", _phone, _PHONE_WORDS),
     ("phone", r"(?<![\w.+])\+\d(?:(?:[ .\-/]?\(|\)[ .\-/]?|[ .\-/])?\d){5,13}\d(?!\w|[.\-]\d)", _phone, _PHONE_WORDS),
     ("phone", r"(?<![\w.+])(?<!\d[\-/])(?:\d{7,15}|(?:\(\d{2,6}\)[ .\-/]?|\d{2,6}[ .\-/])\d{2,10}(?:[ .\-/]\d{2,10}){0,3})(?!\w|[.\-/]\d)", _local, _PHONE_WORDS),
-    ("card", _cards, _card, r"card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|payment|kredit"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])", _iban, r"iban|account|konto|compte|cuenta|bank|transfer|überweis|virement"),
-    ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", _ssn, r"ssn|social security|taxpayer"),
-    ("dni", r"(?<![A-Za-z0-9])(?:\d{8}|[XYZxyz]\d{7})-?[A-Za-z](?![A-Za-z0-9])", _dni, r"dni|nie|nif|documento|identidad"),
+    ("card", _cards, _card, r"cards?\b|\bvisa\b|\bamex|\bcredit|\bdebit|karte|\bcarte|\btarjeta|\bpayment|\bkredit"),
+    ("iban", _ibans, _iban, r"iban|account|konto|compte|cuenta|bank|transfer|überweis|virement"),
+    ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", _ssn, r"\bssn|social security|taxpayer"),
+    ("dni", r"(?<![A-Za-z0-9])(?:\d{8}|[XYZxyz]\d{7})-?[A-Za-z](?![A-Za-z0-9])", _dni, r"\bdni\b|\bnie\b|\bnif\b|documento|identidad"),
     ("nir", r"(?<!\d)[12] ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3} ?\d\d(?!\d)", _nir, r"sécu|sociale|nir\b|insee"),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip, r"\bip\b|address|host|server|adresse|dirección|login|logged"),
 ]
@@ -151,12 +168,12 @@ def spans(text: str, least: float = LEAST) -> list[tuple[int, int, str, float, b
             if score >= least:
                 got.append((m.start(), m.end(), kind, score, checked, near))
     got.sort(key=lambda x: (-x[3], x[0] - x[1], x[0]))
-    out, taken = [], []
+    out: list[tuple] = []  # by start, none overlapping another
     for x in got:
-        if all(x[1] <= a or b <= x[0] for a, b in taken):
-            taken.append(x[:2])
-            out.append(x)
-    return sorted(out)
+        k = bisect_left(out, x[:2])
+        if (not k or out[k - 1][1] <= x[0]) and (k == len(out) or x[1] <= out[k][0]):
+            out.insert(k, x)
+    return out
 
 
 _FIELDS = ("start", "end", "kind", "score", "checksum", "context")
