@@ -1,23 +1,29 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sparkloom.llm import toxicity_knn as tx
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize(("block", "often", "waves"), [(16, 16, (2, 5)), (64, 3, (1,)), (7, 10**6, (1, 2))])
+def test_index_is_exact(monkeypatch, block, often, waves):
+    monkeypatch.setattr(tx, "OFTEN", often)
+    monkeypatch.setattr(tx, "WAVES", waves)
     rng = np.random.default_rng(2)
-    vectors = []
-    for _ in range(300):
-        t = rng.choice(40, rng.integers(1, 6), replace=False)
-        x = rng.random(len(t)) + 0.1
-        x /= np.linalg.norm(x)
-        vectors.append(dict(zip(t.tolist(), x.tolist())))
-    index = tx.Index(vectors, 40, block=16)
-    for q in vectors[:60]:
-        s = [(round(sum(x * v.get(t, 0) for t, x in q.items()), 12), i) for i, v in enumerate(vectors)]
-        want = sorted((p for p in s if p[0] > 0), key=lambda p: (-p[0], p[1]))[:7]
-        got = index.nearest(q, 7)
-        assert [i for _, i in got] == [i for _, i in want] and np.allclose([c for c, _ in got], [c for c, _ in want])
+    dense = rng.random((300, 40)) * (rng.random((300, 40)) < np.linspace(0.01, 0.4, 40))
+    dense[50:60] = dense[0]  # ties
+    dense[7] = 0
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    d, t = np.nonzero(dense)
+    index = tx.Index(d, t, dense[d, t], 300, 40, rng.permutation(300), block=block)
+    s = np.round(dense @ dense.T, 12)
+    for k, without in ((7, None), (7, np.arange(300)), (400, None)):
+        q, c, e = index.nearest(d, t, dense[d, t], 300, k, without)
+        for i in range(300):
+            want = sorted((-x, j) for j, x in enumerate(s[i]) if x > 0 and (without is None or j != i))[:k]
+            got = [(-x, j) for x, j in zip(c[q == i], e[q == i].tolist())]
+            assert [j for _, j in got] == [j for _, j in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
+    assert [len(x) for x in index.nearest(d[:0], t[:0], d[:0] * 1.0, 0, 3)] == [0, 0, 0]
 
 
 def corpus(n, seed):
@@ -40,12 +46,38 @@ def test_held_out():
     texts, y = corpus(800, 1)
     m = tx.Model.fit(list(range(800)), pa.array(texts), np.array(y))
     texts2, y2 = corpus(200, 2)
-    right = 0
-    for t, v in zip(texts2, y2):
-        _, term, n = tx.term_counts(pa.array([t]), m.hashes)
-        bag = tuple(zip(term.tolist(), n.tolist()))
-        right += (m.judge(bag)[0] >= 0.5 if bag else m.base >= 0.5) == bool(v)
-    assert right >= 195
+    score = m.judge(pa.array(texts2))[0]
+    assert ((score >= 0.5) == np.array(y2, bool)).sum() >= 195
+    # every word is in the vocabulary, and neighbours and votes are those of brute force
+    assert len(m.hashes) == len({w for t in texts for w in t.split()})
+    d, t, x = m.vectors(pa.array(texts))
+    dense = np.zeros((800, len(m.hashes)))
+    kept = tx._no_copies(pa.array(texts))
+    dense[d, t] = x
+    q = np.zeros((200, len(m.hashes)))
+    d, t, x = m.vectors(pa.array(texts2))
+    q[d, t] = x
+    s = np.round(q @ dense[kept].T, 12)
+    near = np.argsort(-s, axis=1, kind="stable")[:, : tx.K]
+    w = 1 / (1 - np.take_along_axis(s, near, 1) + tx.SOFT)
+    vote = (w * np.array(y)[kept][near]).sum(axis=1) / w.sum(axis=1)
+    assert np.allclose(score, m.calibrated(vote))
+
+
+def test_labels_of_one_kind_and_texts_without_words():
+    texts = pa.array(["one two three four", "five six seven eight", "!!", ""])
+    for y, want in (([1, 1, 1, 1], [1.0, 0.5]), ([0, 0, 0, 0], [0.0, 0.0])):
+        m = tx.Model.fit([4, 3, 2, 1], texts, np.array(y))
+        assert m.judge(pa.array(["two", "nine", None]))[0].tolist() == [want[0], want[1], want[1]]
+    m = tx.Model.fit([], texts.slice(0, 0), np.zeros(0, int))
+    assert m.judge(texts)[0].tolist() == [0.0] * 4
+
+
+def test_ties_and_repeated_texts():
+    texts = ["same words here", "other words there", "same things here"]
+    m = tx.Model.fit([10, 20, 30], pa.array(texts), np.array([1, 0, 0]), k=1)
+    # "words": two examples at one cosine; the first of the sample wins, twice
+    assert m.judge(pa.array(["words", "words"]))[2] == ["10", "10"]
 
 
 def test_table(spark, table, odd_rows):
