@@ -3,25 +3,33 @@
 Documents are packed into sequences of `CAPACITY` bytes (one byte is one token
 of a byte-level model; another length column may be given).  A document longer
 than a sequence fills whole sequences and leaves one shorter piece; nothing is
-cut otherwise.  A bin set *dominates* another with the same largest item if
+cut otherwise.  A bin set *dominates* the others with the same item if
 some optimal packing uses it, so it may be fixed for good:
 
 1. an item that fits with no other is alone;
 2. two items that fill a bin exactly;
-3. the largest item with the largest that fits beside it, if at most one more
+3. an item with the largest that fits beside it, if at most one more
    fits, or if no two that fit beside it are together longer than that one;
-4. the largest item with the largest two that fit, if whatever else could lie
+4. an item with the largest two that fit, if whatever else could lie
    beside it is dominated piece by piece.
 
-What no rule fixes is packed best-fit decreasing.  All of this depends on
+Items are tried from the longest on, each against all that are left; one that no rule
+fixes is set aside, and the next is tried.  What is left is packed best-fit decreasing.
+The rules settle items beside which at most two others fit, so many short documents
+leave most of the work to best-fit.  All of this depends on
 lengths only, so the driver works on the histogram of lengths (at most CAPACITY
 rows, whatever the table's size) with multiplicities, and a plan of runs of
 equal bins comes out.  Documents then get their bins by their rank among those
-of equal length; the plan is broadcast (it is bounded by the histogram).
+of equal length: the numbers of earlier partitions, summed by length, and the place
+inside their own partition, so no length gathers its documents in one task.  The plan
+is broadcast (it is bounded by the histogram).
 
 Nulls: a null or empty text has length 0 and is in no bin (no row).  Rows with a
-null id are packed like others.  Repeated rows are packed separately and
-numbered by `copy`; ties in length are ordered by id, piece and copy.
+null id are packed like others.  Repeated rows are packed separately; `row`, a number of
+the table's rows, tells them apart.  Ties: documents of one length are taken in the
+order of the table's rows.  Very long texts fill bins of their own, and their rest is
+packed like a short text.  An empty table gives an empty result; further columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -105,8 +113,8 @@ def reduce(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[i
             fix((s, capacity - s), n)
         elif 2 * s == capacity and (n := sizes.count.get(s, 0) // 2):
             fix((s, s), n)
-    while sizes.order:
-        big = sizes.order[-1]
+    bound = capacity
+    while big := sizes.up_to(bound):
         room = capacity - big
         other = sizes.up_to(room, (big,))
         if not other:
@@ -129,7 +137,7 @@ def reduce(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[i
                 if 2 * above > room:
                     fix((big, other, third), 1)
                     continue
-        break
+        bound = big - 1
     return fixed, dict(sizes.count)
 
 
@@ -199,22 +207,25 @@ def _slots(runs: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str,
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: doc_id, copy, piece, bin_id, bin_offset and n_bytes.
+    """One row for each piece: doc_id, row, piece, bin_id, bin_offset and n_bytes.
 
     A piece that fills a bin alone because its document is longer has a bin named
-    after the document (`doc:copy:piece`); other bins have numbers.
+    after the document (`doc:row:piece`); other bins have numbers.
     """
     size = F.octet_length(F.col("t")) if length_col is None else F.col("t")
     d = take(docs, id_col, length_col or text_col).toDF("doc_id", "t").select("doc_id", F.coalesce(size, F.lit(0)).cast("long").alias("n")).filter("n > 0")
-    d = d.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1)
-    d = written(d, "lengths")
+    d = written(d.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "lengths")
     whole = F.expr(f"n div {capacity}")
-    full = d.filter(F.col("n") >= capacity).select("doc_id", "copy", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("piece"))
-    full = full.select("doc_id", "copy", "piece", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy", "piece").alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("n_bytes"))
-    rest = d.select("doc_id", "copy", whole.alias("piece"), (F.col("n") % capacity).alias("n_bytes")).filter("n_bytes > 0")
-    histogram = {int(r[0]): int(r[1]) for r in rest.groupBy("n_bytes").count().collect()}
+    full = d.filter(F.col("n") >= capacity).select("doc_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("piece"))
+    full = full.select("doc_id", "row", "piece", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row", "piece").alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("n_bytes"))
+    rest = d.select("doc_id", "row", "part", whole.alias("piece"), (F.col("n") % capacity).alias("n_bytes")).filter("n_bytes > 0")
+    number = rest.groupBy("part", "n_bytes").count()
+    histogram = {int(r[0]): int(r[1]) for r in number.groupBy("n_bytes").agg(F.sum("count")).collect()}
     slots = docs.sparkSession.sparkContext.broadcast(_slots(plan(histogram, capacity), capacity))
-    ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("n_bytes").orderBy("doc_id", "piece", "copy")).cast("long") - 1)
+    before = Window.partitionBy("n_bytes").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    number = number.select("part", "n_bytes", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part", "n_bytes").orderBy("row")).cast("long") - 1
+    ranked = rest.withColumn("inside", inside).join(number, ["part", "n_bytes"]).select("doc_id", "row", "piece", "n_bytes", (F.col("inside") + F.col("before")).alias("r"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = slots.value
@@ -224,10 +235,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
             n, r = (b.column(k).to_numpy(zero_copy_only=False) for k in ("n_bytes", "r"))
             k = np.searchsorted(starts, n * width + r, "right") - 1
             name = pa.array((s["bin"][k] + r - s["rank"][k])).cast(pa.string())
-            yield pa.record_batch([b.column("doc_id"), b.column("copy"), b.column("piece"), name, pa.array(s["offset"][k]), b.column("n_bytes")], ["doc_id", "copy", "piece", "bin_id", "bin_offset", "n_bytes"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), b.column("piece"), name, pa.array(s["offset"][k]), b.column("n_bytes")], ["doc_id", "row", "piece", "bin_id", "bin_offset", "n_bytes"])
 
     kind = dict(d.dtypes)["doc_id"]
-    packed = ranked.mapInArrow(place, f"doc_id {kind}, copy int, piece long, bin_id string, bin_offset long, n_bytes long")
+    packed = ranked.mapInArrow(place, f"doc_id {kind}, row long, piece long, bin_id string, bin_offset long, n_bytes long")
     return packed.unionByName(full)
 
 
