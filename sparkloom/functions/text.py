@@ -1,9 +1,12 @@
-"""Scalar text expressions; all of them are JVM-side columns."""
+"""Scalar text expressions; JVM-side columns but for the count of trigrams."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +55,53 @@ def query_trigrams(query: str) -> list[str]:
     return list(dict.fromkeys(q[k : k + 3] for k in range(len(q) - 2)))
 
 
-def dice(text: Column, query: str) -> Column:
-    """2 |A and B| / (|A| + |B|) on trigram sets.
+def distinct_trigrams(texts: list[str], width: int = 1 << 20) -> np.ndarray:
+    """The number of distinct 3-character substrings of each text.
 
-    The query's trigrams are literals, so the intersection is a sum of
-    `contains`; the text's set is only built where that sum isn't 0.
+    Characters are numbered within a group of texts of about `width` characters, so that
+    a text's number and three characters fit in 64 bits, which are then sorted.
     """
-    grams = query_trigrams(query)
-    if not grams:
-        return F.lit(0.0)
-    low = F.lower(text)
-    both = sum((F.contains(low, F.lit(g)).cast("int") for g in grams[1:]), F.contains(low, F.lit(grams[0])).cast("int"))
-    return F.when(both > 0, 2.0 * both / (F.size(trigrams(text)) + F.lit(len(grams)))).otherwise(F.lit(0.0))
+    out = np.zeros(len(texts), np.int32)
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= width) and hi - lo < 1 << 15:
+            size += len(texts[hi])
+            hi += 1
+        lengths = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
+        every, code = np.unique(np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        bits = max(1, int(len(every) - 1).bit_length())
+        code = code.astype(np.uint64)
+        row = np.repeat(np.arange(hi - lo, dtype=np.uint64), lengths)
+        if len(code) > 2:
+            inside = row[2:] == row[:-2]
+            shift = np.uint64(bits)
+            if 3 * bits + 15 <= 64:
+                gram = (((row[2:] << shift | code[:-2]) << shift | code[1:-1]) << shift | code[2:])[inside]
+                gram.sort()
+                new = gram[np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])] if len(gram) else gram
+                out[lo:hi] = np.bincount((new >> np.uint64(3 * bits)).astype(np.int64), minlength=hi - lo)
+            else:
+                for k in range(lo, hi):
+                    out[k] = len({texts[k][i : i + 3] for i in range(len(texts[k]) - 2)})
+        lo = hi
+    return out
+
+
+def trigram_count(low: Column) -> Column:
+    """The size of `trigrams` of a lower-cased text; 0 for null."""
+
+    @F.arrow_udf("int")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(distinct_trigrams(["" if t is None else t for t in texts.to_pylist()]), pa.int32())
+
+    return run(low)
+
+
+def shared_trigrams(low: Column, query: str) -> Column:
+    """How many of the query's trigrams a lower-cased text holds: a sum of `contains`, as they are literals."""
+    return sum((F.coalesce(F.contains(low, F.lit(g)).cast("int"), F.lit(0)) for g in query_trigrams(query)), F.lit(0))
 
 
 def leaf(path: Column) -> Column:

@@ -5,53 +5,110 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
 
 
-def partition_of(kind):
+def partition_of(kind: Column) -> Column:
     return F.when(kind.isin("function", "method"), "callable").when(kind == "type", "type").otherwise("other")
 
 
-def find_duplicates(chunks: DataFrame, *, file: str | None = None, min_similarity: float = 0.85, min_bytes: int = 100, per_chunk: int = 5) -> DataFrame:
+def candidates(chunks: DataFrame, *, min_bytes: int = 100, text_col: str | None = "text") -> DataFrame:
+    """The chunks that are compared: with an embedding and a text of at least `min_bytes`; of chunks known by their vectors only (`text_col` None) all."""
+    df = chunks.filter(F.col("embedding").isNotNull())
+    return df if text_col is None else df.filter(F.octet_length(text_col) >= min_bytes)
+
+
+def _pack(df: DataFrame) -> DataFrame:
+    """part, block, blocks, ids, names and m: the vectors of each block, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> pa.RecordBatch:
+            ids, names, m = (np.concatenate([h[k] for h in held]) for k in range(3))
+            return pa.record_batch([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), pa.array([ids.tobytes()]), pa.array([names.tobytes()]), pa.array([m.tobytes()])], ["part", "block", "blocks", "ids", "names", "m"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in ("part", "block", "blocks"))))
+            cut = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for lo, hi in zip(cut, cut[1:]):
+                if lo == hi:
+                    continue
+                if key != keys[lo] and held:
+                    yield close()
+                    held = []
+                key = keys[lo]
+                v = b.column("v").slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+                held.append((b.column("chunk_id").slice(lo, hi - lo).to_numpy(), b.column("name").slice(lo, hi - lo).to_numpy(), v))
+        if held:
+            yield close()
+
+    rows = df.repartition("part", "block").sortWithinPartitions("part", "block", "chunk_id")
+    return rows.select("part", "block", "blocks", "chunk_id", "name", "v").mapInArrow(run, "part string, block int, blocks int, ids binary, names binary, m binary")
+
+
+def find_duplicates(chunks: DataFrame, *, file: str | None = None, min_similarity: float = 0.85, min_bytes: int = 100, per_chunk: int = 5, text_col: str | None = "text") -> DataFrame:
     """source_id, match_id, rank and similarity: up to `per_chunk` matches of each source, both directions.
 
     Chunks compare inside their partition (callable, type, other).  Each
     partition is packed into blocks of about `BLOCK` vectors, and a pair of
-    blocks is one matrix product; a scope restricts the sources, not the
-    candidates.  The same file and symbol path is no match.
+    blocks is one matrix product, in a task of its own; without a scope each pair is
+    multiplied once, for both directions.  A scope restricts the sources, not the
+    candidates: only its file's chunks lie on the left then.  The same file and symbol
+    path is no match.
     """
-    df = chunks.filter(F.col("embedding").isNotNull())
-    if "text" in df.columns:
-        df = df.filter(F.octet_length("text") >= min_bytes)
-    df = df.select("chunk_id", "file_path", F.concat_ws("\x00", "file_path", "symbol_path").alias("name"), partition_of(F.col("kind")).alias("part"), F.col("embedding").cast("array<double>").alias("v"))
-    sizes = df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    df = df.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int"))
-    pack = df.groupBy("part", "block").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "file_path", "name", "v"))).alias("rows"))
-    x, y = pack.alias("x"), pack.alias("y")
-    pairs = x.join(y, F.col("x.part") == F.col("y.part")).select(F.col("x.rows").alias("a"), F.col("y.rows").alias("b"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"]):
-                if file is not None:
-                    a = [r for r in a if r["file_path"] == file]
-                    if not a:
-                        continue
-                s = np.stack([r["v"] for r in a]) @ np.stack([r["v"] for r in b]).T
-                name_a, name_b = np.array([r["name"] for r in a]), np.array([r["name"] for r in b])
-                i, j = np.nonzero((s >= min_similarity) & (name_a[:, None] != name_b[None, :]))
-                id_a, id_b = np.array([r["chunk_id"] for r in a]), np.array([r["chunk_id"] for r in b])
-                yield pd.DataFrame({"source_id": id_a[i], "match_id": id_b[j], "similarity": s[i, j]})
-
-    found = pairs.mapInPandas(run, "source_id long, match_id long, similarity double")
+    df = candidates(chunks, min_bytes=min_bytes, text_col=text_col)
+    df = df.select("chunk_id", "file_path", F.xxhash64(F.concat_ws("\x00", "file_path", "symbol_path")).alias("name"), partition_of(F.col("kind")).alias("part"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        return _pack(rows.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")))
+
+    right = blocked(df)
+    columns = ["part", "i", "j", "side", "ids", "names", "m"]
+    number = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    if file is None:
+        a = right.select("part", F.col("block").alias("i"), number(F.col("block"), F.col("blocks") - 1).alias("j"), F.lit(0).alias("side"), "ids", "names", "m")
+        b = right.select("part", number(F.lit(0), F.col("block")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "ids", "names", "m")
+    else:
+        left = blocked(df.filter(F.col("file_path") == file))
+        many = lambda x, name: x.groupBy("part").agg(F.max("blocks").alias(name))
+        a = left.join(F.broadcast(many(right, "n")), "part").select("part", F.col("block").alias("i"), number(F.lit(0), F.col("n") - 1).alias("j"), F.lit(0).alias("side"), "ids", "names", "m")
+        b = right.join(F.broadcast(many(left, "n")), "part").select("part", number(F.lit(0), F.col("n") - 1).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "ids", "names", "m")
+    tasks = a.unionByName(b).repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "side").select(*columns)
+    twice = file is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for part, i, j, side, ids, names, m in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, names = np.frombuffer(ids, np.int64), np.frombuffer(names, np.int64)
+                m = np.frombuffer(m, np.float64).reshape(len(ids), -1)
+                if side == 0:
+                    held = (ids, names, m)
+                    continue
+                s = held[2] @ m.T
+                x, y = np.nonzero((s >= min_similarity) & (held[1][:, None] != names[None, :]))
+                source, match, like = held[0][x], ids[y], s[x, y]
+                if twice and i != j:
+                    source, match, like = np.r_[source, match], np.r_[match, source], np.r_[like, like]
+                yield pa.record_batch([pa.array(source), pa.array(match), pa.array(like)], ["source_id", "match_id", "similarity"])
+
+    found = tasks.mapInArrow(run, "source_id long, match_id long, similarity double")
     w = Window.partitionBy("source_id").orderBy(F.desc(F.round("similarity", 9)), "match_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_chunk).select("source_id", "match_id", "rank", "similarity")
 
 
+def compared(chunks: DataFrame, **how) -> DataFrame:
+    """One row: how many chunks were compared."""
+    return candidates(chunks, **how).agg(F.count("*").alias("compared"))
+
+
 def groups(found: DataFrame) -> DataFrame:
-    """One row for each source: its best similarity, number of matches and their ids in order."""
-    return found.groupBy("source_id").agg(F.max("similarity").alias("best"), F.count("*").alias("n"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "match_id"))), lambda x: x["match_id"])).alias("matches"))
+    """One row for each source, best first: its best similarity, number of matches and their ids in order."""
+    g = found.groupBy("source_id").agg(F.max("similarity").alias("best"), F.count("*").alias("n"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "match_id"))), lambda x: x["match_id"])).alias("matches"))
+    return g.orderBy(F.desc(F.round("best", 9)), "source_id")

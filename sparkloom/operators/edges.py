@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import leaf
-from ..plans.session import shared, shared_dir
+from ..plans.session import forget, shared, shared_path
+from .layers import enclosing
 
 
 class QueryError(ValueError):
@@ -33,10 +33,9 @@ def resolve(sites: DataFrame, chunks: DataFrame) -> DataFrame:
     group = ["key", "dotted", F.when(~F.col("dotted"), F.col("symbol_path"))]
     near = named.withColumn("n", F.row_number().over(Window.partitionBy(*group, "file_path").orderBy(*order))).filter("n <= 2")
     far = named.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("file_path", *order))).filter("n <= 2")
-    s, h = sites.alias("s"), c.alias("h")
-    inside = s.join(h, (F.col("s.file_path") == F.col("h.file_path")) & (F.col("h.start_line") <= F.col("s.line")) & (F.col("h.end_line") >= F.col("s.line")))
-    w = Window.partitionBy("site_id").orderBy(F.col("h.end_line") - F.col("h.start_line"), "h.chunk_id")
-    caller = inside.withColumn("n", F.row_number().over(w)).filter("n = 1").select("s.site_id", "s.file_path", "s.name", F.lower("s.name").alias("key"), F.col("h.symbol_path").alias("caller_path"))
+    # the site goes along as the position's id, so it isn't joined again
+    at = sites.select(F.struct("site_id", "file_path", "name").alias("query_id"), "file_path", "line")
+    caller = enclosing(at, c, "chunk_id").select("query_id.site_id", "query_id.file_path", "query_id.name", F.lower("query_id.name").alias("key"), F.col("symbol_path").alias("caller_path"))
     fits = F.col("dotted") | (F.col("symbol_path") == F.col("name"))
     other = (F.col("callee_file") != F.col("file_path")) | (F.col("callee_path") != F.col("caller_path"))
     pick = lambda df: df.select("key", "dotted", F.col("file_path").alias("callee_file"), F.col("symbol_path").alias("callee_path"), F.col("start_line").alias("callee_line"))
@@ -127,7 +126,7 @@ def flatten(nodes: DataFrame) -> DataFrame:
     The levels lie in one folder and are read at once: the plan doesn't grow with the depth.
     """
     n = shared(nodes.select("file", "node_id", "kind", "parent_id"), "nodes")
-    spark, folder, depth = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/levels-{uuid.uuid4().hex}", 0
+    spark, folder, depth = nodes.sparkSession, shared_path(nodes.sparkSession, "levels"), 0
     level = n.filter("parent_id IS NULL").select("file", "node_id", F.col("kind").alias("path"))
     while True:
         level.write.parquet(f"{folder}/level={depth}")
@@ -137,4 +136,5 @@ def flatten(nodes: DataFrame) -> DataFrame:
         up = level.select("file", F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
         level = n.join(up, ["file", "parent_id"]).select("file", "node_id", F.concat_ws(".", "above", "kind").alias("path"))
         depth += 1
+    forget(n)
     return spark.read.schema(level.schema).parquet(folder).select("file", "node_id", "path")

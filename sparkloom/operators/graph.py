@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import shared
+from ..plans.session import forget, shared
+from .symbols import get_symbol
 
 SOURCES = ("lsp", "treesitter")
 
@@ -43,6 +46,7 @@ def levels(roots: DataFrame, edges: DataFrame, direction: str, depth: int) -> Da
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    forget(step)
     return seen
 
 
@@ -63,6 +67,27 @@ def call_graph(roots: DataFrame, edges: DataFrame, direction: str = "outbound",
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def with_names(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """`call_graph`'s edges with the names and files of both ends; edges without a symbol at an end go."""
+    for end in ("caller", "callee"):
+        found = found.join(symbols.select(F.col("symbol_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"), F.col("file_path").alias(f"{end}_file")), f"{end}_id")
+    return found
+
+
+def root_of(identifier: str, candidates: DataFrame, symbols: DataFrame) -> DataFrame:
+    """node_id of a `file:line:column` or, where no symbol lies there, of the best match of a name among `candidates` (merged symbols); fails where there is neither."""
+    m = re.fullmatch(r"(.+):(\d+):(\d+)", identifier)
+    if m:
+        at = locate(symbols, m[1], int(m[2]), int(m[3]))
+        if not at.isEmpty():
+            return at
+    best = get_symbol(candidates, identifier, limit=1).select("file_path", "start_line")
+    at = symbols.join(F.broadcast(best), ["file_path", "start_line"]).orderBy("symbol_id").limit(1).select(F.col("symbol_id").alias("node_id"))
+    if at.isEmpty():
+        raise NotFound(identifier)
+    return at
+
+
 def locate(symbols: DataFrame, file: str, line: int, column: int) -> DataFrame:
     """node_id of the narrowest symbol at a position; the start column counts on every line, the end column on none."""
     hit = symbols.filter((F.col("file_path") == file) & (F.col("start_line") <= line) & (F.col("end_line") >= line) & (F.col("start_column") <= column))

@@ -51,10 +51,15 @@ def _places(positions: DataFrame, symbols: DataFrame, chunks: DataFrame) -> tupl
 
 
 def definition(positions: DataFrame, live: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Live locations, else the narrowest symbol, else the narrowest chunk.  Type definitions have the same shape."""
+    """Live locations, else the narrowest symbol, else the narrowest chunk."""
     return cascade(positions, live.select(*_PLACE), *_places(positions, symbols, chunks))
 
 
+def type_definition(positions: DataFrame, live: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Like `definition`, with the live answers of a type request."""
+    return definition(positions, live, symbols, chunks)
+
+
 def hover(positions: DataFrame, live: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, contents and layer: live contents, else detail or `name (kind)`, else the chunk's text."""
     s = enclosing(positions, symbols, "symbol_id").select("query_id", F.coalesce("detail", F.concat("name", F.lit(" ("), "kind", F.lit(")"))).alias("contents"))
@@ -96,6 +101,47 @@ def references_text(word: str, chunks: DataFrame, limit: int = 200) -> DataFrame
     return chunks.filter(F.col("text").ilike(f"%{word}%")).orderBy("file_path", "start_line", "chunk_id").limit(limit)
 
 
+def references(file: str, line: int, live: DataFrame, symbols: DataFrame, edges: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """file_path, start_line, symbol, layer and total: the references to what lies at one position.
+
+    Live locations (file_path, start_line, end_line); else the call sites of the symbol's
+    callers; else, with the longest identifier of the position's line in its narrowest
+    chunk, the chunks that hold it (three times `limit` are looked at, or 200).  `total` counts
+    before the cut to `limit`; each reference has the symbol around it.
+    """
+    spark = chunks.sparkSession
+    at = spark.createDataFrame([(0, file, line)], "query_id int, file_path string, line int")
+    answers = [live.select("file_path", "start_line"), references_index(at, symbols, edges).select("file_path", "start_line")]
+    inside = enclosing(at, chunks, "chunk_id").select(longest_identifier(F.get(F.split("text", "\n"), F.lit(line) - F.col("start_line"))).alias("word")).first()
+    if inside and inside["word"]:
+        answers.append(references_text(inside["word"], chunks, 200 if limit is None else 3 * limit).select("file_path", "start_line"))
+    both = None
+    for k, a in enumerate(answers):
+        a = a.select("file_path", F.col("start_line").cast("int").alias("start_line"), F.lit(k).alias("_layer"))
+        both = a if both is None else both.unionByName(a)
+    best = both.agg(F.min("_layer").alias("_best"))
+    rows = both.join(F.broadcast(best), F.col("_layer") == F.col("_best")).drop("_best")
+    total = rows.agg(F.count("*").alias("total"))
+    if limit is not None:
+        rows = rows.orderBy("file_path", "start_line").limit(limit)
+    rows = rows.groupBy("file_path", "start_line", "_layer").agg(F.count("*").alias("_n")).withColumn("query_id", F.struct("file_path", "start_line"))
+    named = enrich(rows.select("query_id", "file_path", F.col("start_line").alias("line")), symbols, chunks)
+    name = F.when(F.col("_layer") == 0, LAYERS[0]).when(F.col("_layer") == 1, LAYERS[1]).otherwise(LAYERS[2]).alias("layer")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    return rows.join(named, "query_id").crossJoin(F.broadcast(total)).select("file_path", "start_line", "symbol", name, "total")
+
+
+def workspace_symbols(live: DataFrame, root: str) -> DataFrame:
+    """The symbols that a live session found (name, kind, uri, start_line, container), with paths below the root; without a session there is none."""
+    path = F.when(F.startswith("uri", F.lit(f"file://{root}/")), F.substring("uri", len(f"file://{root}/") + 1, 1 << 30)).otherwise(F.regexp_replace("uri", "^file://", ""))
+    return live.select("name", "kind", path.alias("file_path"), "start_line", "container")
+
+
+def server_status(servers: DataFrame) -> DataFrame:
+    """command, state and attempts of every managed server, by command."""
+    return servers.select("command", "state", "attempts").orderBy("command")
+
+
 def implementations(name: str, symbols: DataFrame, chunks: DataFrame, limit: int = 20) -> DataFrame:
     """The symbol itself, else chunks with `impl <name>`; file_path, start_line and layer."""
     s = symbols.filter(F.col("name") == name).select("file_path", "start_line", F.lit(0).alias("_l"))

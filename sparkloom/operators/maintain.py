@@ -77,9 +77,16 @@ def invalidated(deleted: DataFrame, edges: DataFrame) -> DataFrame:
     return hits[0].unionByName(hits[1]).distinct()
 
 
-def replace_chunks(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Chunks with those of the files in `fresh` replaced."""
-    return chunks.join(fresh.select("file_path").distinct(), "file_path", "left_anti").unionByName(fresh)
+def replace_chunks(chunks: DataFrame, files: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Chunks with those of `files` replaced by `fresh`; a file that gives none loses its old ones."""
+    return chunks.join(files.select("file_path").distinct(), "file_path", "left_anti").unionByName(fresh)
+
+
+def parsed(index: DataFrame, files: DataFrame) -> DataFrame:
+    """The index after `files` were parsed: that layer is done, and their embeddings are due."""
+    done = index.join(files.select("file_path").distinct().withColumn("_d", F.lit(True)), "file_path", "left")
+    is_ = F.coalesce("_d", F.lit(False))
+    return done.withColumns({"ts_indexed": F.col("ts_indexed") | is_, "embedded": F.col("embedded") & ~is_}).drop("_d")
 
 
 def replace_edges(edges: DataFrame, files: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import with_rank
-from ..functions.text import dice, query_tokens, token_count, tokens
+from ..functions.text import query_tokens, query_trigrams, shared_trigrams, token_count, tokens, trigram_count
 from ..plans.session import shared
 
 
@@ -47,9 +47,17 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
 
 
 def trigram(chunks: DataFrame, query: str) -> DataFrame:
-    """chunk_id and `trigram` of the chunks with a score above 0."""
-    score = SYMBOL_WEIGHT * dice(F.col("symbol_path"), query) + dice(F.col("text"), query)
-    return chunks.select("chunk_id", score.alias("trigram")).filter("trigram > 0")
+    """chunk_id and `trigram` of the chunks with a score above 0: the Dice coefficient 2 |A and B| / (|A| + |B|) of the trigram sets, that of the symbol path five times.
+
+    The trigrams of a chunk are only counted where one of the query's occurs in it.
+    """
+    n = len(query_trigrams(query))
+    low = chunks.select("chunk_id", F.lower("text").alias("_t"), F.lower("symbol_path").alias("_s"))
+    if not n:
+        return low.select("chunk_id", F.lit(0.0).alias("trigram")).limit(0)
+    both = low.withColumns({"_ft": shared_trigrams(F.col("_t"), query), "_fs": shared_trigrams(F.col("_s"), query)}).filter("_ft + _fs > 0")
+    dice = lambda f, text: 2.0 * F.col(f) / (trigram_count(F.col(text)) + F.lit(n))
+    return both.select("chunk_id", (SYMBOL_WEIGHT * dice("_fs", "_s") + dice("_ft", "_t")).alias("trigram"))
 
 
 def dot(a: Column, b: Column) -> Column:

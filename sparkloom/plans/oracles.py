@@ -217,3 +217,64 @@ QUALIFY row_number() OVER (PARTITION BY k.site_id ORDER BY CASE WHEN c.file_path
     "reconcile_stats": f"WITH {FILES}, {INDEX} SELECT count(d.file_path) AS walked, count(*) FILTER (i.file_path IS NULL) AS added, count(*) FILTER (d.content_hash <> i.content_hash) AS changed, count(*) FILTER (d.file_path IS NULL) AS removed FROM files d FULL JOIN idx i ON d.file_path = i.file_path",
     "path_safety": "SELECT page_id, page_id % 3 = 0 AS safe FROM pages",
 }
+
+_COSDUPS = f"""{LINES}, {EMBEDDED},
+v AS (SELECT chunk_id, file_path, symbol_path, CASE WHEN kind IN ('function', 'method') THEN 'c' ELSE kind END AS part, v AS e FROM chunks JOIN embedded USING (chunk_id) WHERE strlen(text) >= 100)"""
+_ENRICHED = """rs AS (SELECT row_number() OVER () AS rid, * FROM refs),
+n1 AS (SELECT r.rid, s.name FROM rs r JOIN symbols s ON s.file_path = r.file_path AND r.start_line BETWEEN s.start_line AND s.end_line QUALIFY row_number() OVER (PARTITION BY r.rid ORDER BY s.end_line - s.start_line, s.symbol_id) = 1),
+n2 AS (SELECT r.rid, c.symbol_path FROM rs r JOIN {chunks} c ON c.file_path = r.file_path AND r.start_line BETWEEN c.start_line AND {end} QUALIFY row_number() OVER (PARTITION BY r.rid ORDER BY {end} - c.start_line, c.chunk_id) = 1)
+SELECT r.file_path, r.start_line, coalesce(n1.name, n2.symbol_path) AS symbol, '{layer}' AS layer, (SELECT count(*) FROM {total}) AS total FROM rs r LEFT JOIN n1 USING (rid) LEFT JOIN n2 USING (rid)"""
+_FANOUT = "SELECT * FROM (" + " UNION ALL ".join(
+    f"(SELECT '{kind}' AS root, name, CAST(coalesce(fp, fn) AS INTEGER) AS score, CAST(row_number() OVER (ORDER BY coalesce(fp, fn) DESC, file_path, start_line) AS INTEGER) AS rank FROM {_fuzzy(_fuzzy(f'(SELECT * FROM merged WHERE meta = {chr(39)}{kind}{chr(39)})', 'qualified_path', 'cust', 'fp'), 'name', 'cust', 'fn')} WHERE coalesce(fp, fn) IS NOT NULL)"
+    for kind in ("function", "method", "type")
+) + ")"
+
+SQL |= {
+    "duplicates_text": f"""WITH {_COSDUPS},
+dup AS (SELECT a.chunk_id AS source_id, b.chunk_id AS match_id, list_inner_product(a.e, b.e) AS similarity FROM v a JOIN v b ON a.part = b.part AND (a.file_path <> b.file_path OR a.symbol_path <> b.symbol_path) WHERE list_inner_product(a.e, b.e) >= 0.2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(similarity, 9) DESC, match_id) AS r FROM dup)
+SELECT source_id, match_id, CAST(r AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM ranked WHERE r <= 5""",
+    "duplicates_compared": f"WITH {_COSDUPS} SELECT count(*) AS compared FROM v",
+    "duplicates_groups": "SELECT source_id, max(similarity) AS best, count(*) AS n, string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY rank) AS matches FROM (WITH " + _DUPS.format(scope="") + ") GROUP BY source_id",
+    "graph_named": f"WITH {SYMBOLS} SELECT g.edge_id, a.name AS caller_name, a.file_path AS caller_file, b.name AS callee_name, b.file_path AS callee_file, g.source, g.depth FROM ("
+    + _graph(_OUT, f"SELECT min(symbol_id) AS symbol_id FROM symbols JOIN (SELECT * FROM ({_get('Customer_0000001')}) ORDER BY score DESC, file_path, start_line LIMIT 1) USING (file_path, start_line)", ["outbound"])
+    + ") g JOIN symbols a ON a.symbol_id = g.caller_id JOIN symbols b ON b.symbol_id = g.callee_id",
+    "type_definition": SQL["definition_cascade"],
+    "enrich_location": f"WITH {ENCLOSED} SELECT p.query_id, coalesce(es.name, ec.symbol_path) AS symbol FROM positions p LEFT JOIN es USING (query_id) LEFT JOIN ec USING (query_id)",
+    "include_source": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS source_text FROM documents WHERE text IS NOT NULL",
+    "references_symbol": f"""WITH {CODE}, {SYMBOLS}, {EDGES},
+it AS (SELECT symbol_id FROM symbols WHERE file_path = 'src/n5.py' AND 4 BETWEEN start_line AND end_line ORDER BY end_line - start_line, symbol_id LIMIT 1),
+refs AS (SELECT e.file_path, e.site AS start_line FROM edges e JOIN it ON e.callee_id = it.symbol_id JOIN symbols s ON s.symbol_id = e.caller_id),
+"""
+    + _ENRICHED.format(chunks="code", end="c.end_line", layer="lspIndex", total="refs"),
+    "references_live": f"""WITH {CODE}, {SYMBOLS},
+every AS (SELECT file_path, start_line FROM symbols WHERE file_path = 'src/n7.py'),
+refs AS (SELECT * FROM every ORDER BY file_path, start_line LIMIT 10),
+"""
+    + _ENRICHED.format(chunks="code", end="c.end_line", layer="liveLSP", total="every"),
+    "references_word": rf"""WITH {LINES}, {SYMBOLS},
+w AS (SELECT list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_matches(x, '^[\p{{L}}_]')) AS w FROM chunks ORDER BY file_path, start_line LIMIT 1),
+word AS (SELECT list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))))[1] AS word FROM w),
+every AS (SELECT file_path, start_line FROM chunks WHERE text ILIKE '%' || (SELECT word FROM word) || '%' ORDER BY file_path, start_line, chunk_id LIMIT 120),
+refs AS (SELECT * FROM every ORDER BY file_path, start_line LIMIT 40),
+"""
+    + _ENRICHED.format(chunks="chunks", end="c.start_line", layer="treeSitter", total="every"),
+    "workspace_symbols": f"WITH {SYMBOLS} SELECT name, kind, file_path, start_line FROM symbols",
+    "server_status": "SELECT s_name AS command, CASE WHEN s_nationkey % 2 = 0 THEN 'running' ELSE 'failed' END AS state, CAST(s_suppkey % 6 AS INTEGER) AS attempts FROM supplier",
+    "mark_indexed": f"WITH {FILES}, {INDEX} SELECT file_path, ts_indexed, lsp_indexed OR file_path LIKE '%.fr' AS lsp_indexed, embedded FROM idx",
+    "mark_parsed": f"WITH {FILES}, {INDEX} SELECT file_path, ts_indexed OR file_path LIKE '%.fr' AS ts_indexed, lsp_indexed, embedded AND file_path NOT LIKE '%.fr' AS embedded FROM idx",
+    "chunk_replace": f"WITH {CODE} SELECT chunk_id, file_path, start_line, symbol_path FROM code WHERE file_path NOT IN ('src/n1.py', 'src/n2.py') UNION ALL SELECT -chunk_id, file_path, start_line, symbol_path FROM code WHERE file_path = 'src/n1.py'",
+    "edge_replace": f"WITH {EDGES} SELECT edge_id, caller_id, callee_id, file_path, source FROM edges WHERE source <> 'treesitter' OR file_path NOT IN ('src/n1.py', 'src/n2.py') UNION ALL SELECT -edge_id, caller_id, callee_id, file_path, source FROM edges WHERE source = 'treesitter' AND file_path = 'src/n1.py'",
+    "outgoing_calls": f"""WITH {SYMBOLS}, calls AS (SELECT o_custkey AS caller_id, s.file_path, s.start_line FROM orders JOIN symbols s ON s.symbol_id = (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer))
+SELECT c.caller_id, t.symbol_id AS callee_id FROM calls c JOIN symbols k ON k.symbol_id = c.caller_id AND k.kind IN ('function', 'method', 'constructor') JOIN symbols t ON t.file_path = c.file_path AND t.start_line = c.start_line WHERE t.file_path <> 'src/n3.py'""",
+    "watcher_accept": "SELECT doc_id AS seq, source || '/' || doc_id || '.' || lang AS path FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND lang IN ('en', 'fr', 'de') AND source <> 'src2' AND NOT (lang = 'fr' AND source <> 'src1')",
+    "root_overlap": r"""WITH r AS (SELECT DISTINCT regexp_extract(url, '^https?://([^?]*)/[^/?]*', 1) AS root FROM pages), w AS (SELECT min(root) AS w FROM r)
+SELECT root, CASE WHEN root = w THEN 'exact' WHEN starts_with(w, root || '/') THEN 'descendant' ELSE 'ancestor' END AS relation FROM r, w WHERE root = w OR starts_with(w, root || '/') OR starts_with(root, w || '/')""",
+    "git_range": "SELECT min(o_orderkey) AS position, 'src/f' || o_custkey || '.py' AS path FROM orders WHERE o_orderkey % 6 IN (0, 1, 3, 4) AND o_custkey % 2 = 0 GROUP BY path",
+    "glob_scope": rf"WITH {FILES} SELECT DISTINCT file_path AS path FROM files WHERE regexp_matches(file_path, '^src[^/]/1[^/]*\.[ef][^/]*$') AND lang IN ('en', 'fr')",
+    "search_cosine_mismatch": f"WITH {EMBEDDED} SELECT chunk_id, 0.0::DOUBLE AS score FROM embedded",
+    "manager_readiness": "SELECT true AS ready",
+    "fanout_symbols": f"WITH {MERGED}, h AS ({_FANOUT}) SELECT root, name, score, rank, CAST(row_number() OVER (ORDER BY rank, root) AS INTEGER) AS position FROM h ORDER BY rank, root LIMIT 30",
+    "fanout_failures": "SELECT 'broken' AS root",
+    "fanout_grep": f"WITH {LINES}, h AS (SELECT lang AS root, chunk_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY file_path, start_line, chunk_id) AS INTEGER) AS rank FROM chunks WHERE lang IN ('en', 'fr') AND regexp_matches(text, 'licen[cs]ed?')) SELECT *, CAST(row_number() OVER (ORDER BY rank, root) AS INTEGER) AS position FROM h WHERE rank <= 40 ORDER BY rank, root LIMIT 40",
+}

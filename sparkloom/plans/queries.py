@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_path
 from ..operators import diagnostics as dg
-from ..operators import duplicates, edges, graph, grep, layers, maintain, search, symbols
+from ..operators import duplicates, edges, fanout, graph, grep, layers, maintain, search, symbols
 from ..sources import languages, tree
 from ..sources.adapters import Model
 from ..streaming import events
@@ -135,12 +135,31 @@ def grep_positions(m: Model) -> DataFrame:
 
 @query
 def duplicates_workspace(m: Model) -> DataFrame:
-    return duplicates.find_duplicates(m.vectors(), min_similarity=0.3).withColumn("similarity", F.round("similarity", 6))
+    return duplicates.find_duplicates(m.vectors(), min_similarity=0.3, text_col=None).withColumn("similarity", F.round("similarity", 6))
+
+
+def _embedded_chunks(m: Model) -> DataFrame:
+    return m.chunks().join(m.embedded(), "chunk_id")
+
+
+@query
+def duplicates_text(m: Model) -> DataFrame:
+    return duplicates.find_duplicates(_embedded_chunks(m), min_similarity=0.2).withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def duplicates_compared(m: Model) -> DataFrame:
+    return duplicates.compared(_embedded_chunks(m))
+
+
+@query
+def duplicates_groups(m: Model) -> DataFrame:
+    return duplicates.groups(duplicates.find_duplicates(m.vectors(), min_similarity=0.3, text_col=None)).withColumn("best", F.round("best", 6))
 
 
 @query
 def duplicates_file(m: Model) -> DataFrame:
-    return duplicates.find_duplicates(m.vectors(), file="f3", min_similarity=0.3).withColumn("similarity", F.round("similarity", 6))
+    return duplicates.find_duplicates(m.vectors(), file="f3", min_similarity=0.3, text_col=None).withColumn("similarity", F.round("similarity", 6))
 
 
 def _root(m: Model) -> DataFrame:
@@ -162,6 +181,12 @@ def graph_both(m: Model) -> DataFrame:
     return graph.call_graph(_root(m), m.edges(), "both", 2)
 
 
+@query
+def graph_named(m: Model) -> DataFrame:
+    root = graph.root_of("Customer_0000001", _merged(m), m.symbols())
+    return graph.with_names(graph.call_graph(root, m.edges(), "outbound", 2), m.symbols()).select("edge_id", "caller_name", "caller_file", "callee_name", "callee_file", "source", "depth")
+
+
 @query
 def graph_locator(m: Model) -> DataFrame:
     return graph.call_graph(graph.locate(m.symbols(), "src/n5.py", 30, 6), m.edges(), "outbound", 2)
@@ -202,6 +227,57 @@ def definition_cascade(m: Model) -> DataFrame:
     return layers.definition(_positions(m), _live(m), m.symbols(), m.code_chunks())
 
 
+@query
+def type_definition(m: Model) -> DataFrame:
+    return layers.type_definition(_positions(m), _live(m), m.symbols(), m.code_chunks())
+
+
+@query
+def enrich_location(m: Model) -> DataFrame:
+    return layers.enrich(_positions(m), m.symbols(), m.code_chunks())
+
+
+@query
+def include_source(m: Model) -> DataFrame:
+    d = m.table("documents").filter("text IS NOT NULL")
+    return d.select("doc_id", layers.source_lines(F.col("text"), F.lit(1), F.lit(3)).alias("source_text"))
+
+
+@query
+def references_symbol(m: Model) -> DataFrame:
+    none = m.symbols().limit(0).select("file_path", "start_line", "end_line")
+    return layers.references("src/n5.py", 4, none, m.symbols(), m.edges(), m.code_chunks())
+
+
+def _lines(m: Model) -> DataFrame:
+    return m.chunks().withColumn("end_line", F.col("start_line"))
+
+
+@query
+def references_word(m: Model) -> DataFrame:
+    none = m.symbols().limit(0).select("file_path", "start_line", "end_line")
+    first = _lines(m).agg(F.min(F.struct("file_path", "start_line")).alias("f")).first()["f"]
+    return layers.references(first["file_path"], first["start_line"], none, m.symbols(), m.edges(), _lines(m), 40)
+
+
+@query
+def references_live(m: Model) -> DataFrame:
+    live = m.symbols().filter(F.col("file_path") == "src/n7.py").select("file_path", "start_line", "end_line")
+    return layers.references("src/n5.py", 4, live, m.symbols(), m.edges(), m.code_chunks(), 10)
+
+
+@query
+def workspace_symbols(m: Model) -> DataFrame:
+    live = m.symbols().select("name", "kind", F.concat(F.lit("file:///ws/"), "file_path").alias("uri"), "start_line", F.lit(None).cast("string").alias("container"))
+    return layers.workspace_symbols(live, "/ws").drop("container")
+
+
+@query
+def server_status(m: Model) -> DataFrame:
+    s = m.table("supplier")
+    return layers.server_status(s.select(F.col("s_name").alias("command"), F.when(F.col("s_nationkey") % 2 == 0, "running").otherwise("failed").alias("state"), (F.col("s_suppkey") % 6).cast("int").alias("attempts")))
+
+
 @query
 def hover_cascade(m: Model) -> DataFrame:
     return layers.hover(_positions(m), _live(m), m.symbols(), m.code_chunks())
@@ -269,6 +345,118 @@ def mark_dirty(m: Model) -> DataFrame:
     return maintain.mark_dirty(_index(m), m.files())
 
 
+def _some_files(m: Model) -> DataFrame:
+    return _index(m).filter(F.endswith("file_path", F.lit(".fr"))).select("file_path")
+
+
+@query
+def mark_indexed(m: Model) -> DataFrame:
+    return maintain.mark_indexed(_index(m), _some_files(m), "lsp").select("file_path", "ts_indexed", "lsp_indexed", "embedded")
+
+
+@query
+def mark_parsed(m: Model) -> DataFrame:
+    return maintain.parsed(_index(m), _some_files(m)).select("file_path", "ts_indexed", "lsp_indexed", "embedded")
+
+
+@query
+def chunk_replace(m: Model) -> DataFrame:
+    c = m.code_chunks().select("chunk_id", "file_path", "start_line", "symbol_path")
+    files = m.spark.createDataFrame([("src/n1.py",), ("src/n2.py",), ("src/none.py",)], "file_path string")
+    fresh = c.filter(F.col("file_path") == "src/n1.py").withColumn("chunk_id", -F.col("chunk_id"))
+    return maintain.replace_chunks(c, files, fresh)
+
+
+@query
+def edge_replace(m: Model) -> DataFrame:
+    e = m.edges().drop("from_ranges")
+    files = m.spark.createDataFrame([("src/n1.py",), ("src/n2.py",)], "file_path string")
+    fresh = e.filter((F.col("file_path") == "src/n1.py") & (F.col("source") == "treesitter")).withColumn("edge_id", -F.col("edge_id"))
+    return maintain.replace_edges(e, files, fresh)
+
+
+@query
+def outgoing_calls(m: Model) -> DataFrame:
+    o = m.table("orders")
+    n = m.table("customer").agg(F.count("*").alias("n"))
+    to = m.symbols().select(F.col("symbol_id").alias("to"), F.col("file_path").alias("callee_file"), F.col("start_line").alias("callee_line"))
+    calls = o.crossJoin(F.broadcast(n)).select(F.col("o_custkey").alias("caller_id"), ((F.col("o_orderkey") * 7 + 3) % F.col("n")).alias("to")).join(to, "to").select("caller_id", "callee_file", "callee_line")
+    files = m.symbols().select("file_path").distinct().filter("file_path <> 'src/n3.py'")
+    return edges.outgoing(calls, m.symbols(), files)
+
+
+@query
+def watcher_accept(m: Model) -> DataFrame:
+    d = m.table("documents")
+    path = F.concat(F.when(F.col("doc_id") % 5 == 0, "/other/").otherwise("/ws/"), F.when(F.col("doc_id") % 7 == 0, ".git/").otherwise(""), "source", F.lit("/"), "doc_id", F.lit("."), "lang")
+    rules = tree.ignore_rules(m.spark, {"": "*.fr\n!src1/*.fr\nsrc2/\n"})
+    return events.accepted(d.select(F.col("doc_id").alias("seq"), path.alias("path")), ["en", "fr", "de"], "/ws", rules)
+
+
+@query
+def root_overlap(m: Model) -> DataFrame:
+    inner = m.table("pages").select(F.regexp_extract("url", "^https?://([^?]*)/[^/?]*", 1).alias("root")).distinct()
+    wanted = inner.agg(F.min("root")).first()[0] or ""
+    return tree.overlapping(inner, wanted)
+
+
+@query
+def git_range(m: Model) -> DataFrame:
+    o = m.table("orders")
+    code = F.element_at(F.array(*map(F.lit, ("A", "M", "D", "R090", "C100", "T"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    old = F.when(F.col("o_orderkey") % 6 >= 3, "old.py\t").otherwise("")
+    path = F.concat(F.lit("src/f"), "o_custkey", F.when(F.col("o_custkey") % 2 == 0, ".py").otherwise(".txt"))
+    return tree.scope(tree.changed(o.select(F.col("o_orderkey").alias("position"), F.concat(code, F.lit("\t"), old, path).alias("line"))), ["py"])
+
+
+@query
+def glob_scope(m: Model) -> DataFrame:
+    return tree.scope(tree.matching(m.files(), "src?/1*.[ef]*"), ["en", "fr"]).select("path")
+
+
+@query
+def search_cosine_mismatch(m: Model) -> DataFrame:
+    q = _query_vector(m).select(F.slice("q", 1, 8).alias("q"))
+    return search.cosine(m.embedded(), q).select("chunk_id", F.round("cosine", 6).alias("score"))
+
+
+@query
+def manager_readiness(m: Model) -> DataFrame:
+    return maintain.manager_ready(m.table("supplier").select((F.col("s_suppkey") >= 0).alias("ready")))
+
+
+def _ranked(df: DataFrame, *order) -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def _symbol_roots(m: Model) -> dict:
+    """A context for each kind of symbol, one of which has no table."""
+    def of(kind: str):
+        found = symbols.search_symbol(_merged(m).filter(F.col("meta") == kind), "cust", None, 50)
+        return _ranked(found.select("name", "score", "file_path", "start_line"), F.desc("score"), "file_path", "start_line")
+
+    return {**{k: lambda k=k: of(k) for k in ("function", "method", "type")}, "broken": lambda: m.table("no_such_table")}
+
+
+@query
+def fanout_symbols(m: Model) -> DataFrame:
+    return fanout.fan_out(m.spark, _symbol_roots(m), 30)[0].select("root", "name", "score", "rank", "position")
+
+
+@query
+def fanout_failures(m: Model) -> DataFrame:
+    return fanout.fan_out(m.spark, _symbol_roots(m), 30)[1].select("root")
+
+
+@query
+def fanout_grep(m: Model) -> DataFrame:
+    def of(lang: str, pattern: str):
+        return _ranked(grep.grep(m.chunks(), pattern, [lang], None, 50).select("chunk_id", "file_path", "start_line"), "file_path", "start_line", "chunk_id")
+
+    found = fanout.fan_out(m.spark, {"en": lambda: of("en", "licen[cs]ed?"), "fr": lambda: of("fr", "licen[cs]ed?"), "de": lambda: of("de", "(")}, 40)[0]
+    return found.select("root", "chunk_id", "rank", "position")
+
+
 @query
 def mark_uncovered(m: Model) -> DataFrame:
     return maintain.mark_uncovered(_index(m), ["en", "fr"]).select("file_path", "lsp_indexed")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,27 +21,67 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "sparkloom.zip")
+    folder = tempfile.mkdtemp()  # read by the driver only, which hands the file on
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "sparkloom.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
+        for sub, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
-                    full = os.path.join(folder, n)
+                    full = os.path.join(sub, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset and the master is local, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, which the end of the driver or `forget` removes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def shared(df: DataFrame, name: str) -> DataFrame:
     """The table, written to the shared folder and read again: a lineage cut that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._sparkloom_path = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes shared tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_sparkloom_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _made[:] = [x for x in _made if x[1] != path]
+
+
+@atexit.register
+def _forget_all() -> None:
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # the JVM has ended before; its folder goes with the cluster's
+            return

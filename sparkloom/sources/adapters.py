@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Lines that a document may have, in chunk ids.
+#: Ids a document has for its lines.
 LINES = 1_000_000
 
 
+def _chunk_id(doc: Column, pos: Column) -> Column:
+    """Distinct for each line: lines beyond LINES are numbered among the negative ids, where a document may have 2^31 of them."""
+    return F.when(pos < LINES, doc * LINES + pos).otherwise(-(doc * F.lit(1 << 31) + pos))
+
+
 class Model:
     """Files, chunks, symbols, call edges, events and diagnostics over one folder."""
 
@@ -28,7 +33,7 @@ class Model:
         d = self.table("documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter("text <> ''")
         kind = F.when(F.col("lang") == "en", "function").when(F.col("lang") == "fr", "method").when(F.col("lang") == "de", "type").otherwise("other")
         return d.select(
-            (F.col("doc_id") * LINES + F.col("pos")).alias("chunk_id"),
+            _chunk_id(F.col("doc_id"), F.col("pos")).alias("chunk_id"),
             F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("file_path"),
             F.col("pos").cast("int").alias("start_line"),
             F.concat(F.lit("Doc"), "doc_id", F.lit("."), F.regexp_extract("text", "[A-Za-z]+", 0)).alias("symbol_path"),

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extension, safe_path
+from ..functions.text import extension, glob_regex, safe_path
 from .languages import EXTENSIONS
 
+#: Rules up to which they are broadcast (some 100 bytes each); shares of the entries beyond.
+RULES, SALTS = 50_000, 32
+
 
 def compile_rule(line: str) -> tuple[str, bool, bool, bool] | None:
     """(regex, negated, directories only, anchored) of a line of an ignore file; None for blanks and comments."""
@@ -59,12 +62,28 @@ def ignore_rules(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, base string, regex string, negated boolean, dir_only boolean, anchored boolean")
 
 
+def ancestors(path: Column) -> Column:
+    """The path's folders from the outermost on, and the path itself."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
 def ignored(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """The ignored of entries (path, is_dir): the last matching rule decides; rules hold below their base, unanchored ones on names."""
-    below = (F.col("base") == "") | F.startswith(F.col("path"), F.concat("base", F.lit("/")))
+    """The ignored of entries (path, is_dir): the last matching rule decides; rules hold below their base, unanchored ones on names.
+
+    An entry is exploded to the folders above it, so it meets the rules of these by an
+    equi join.  Up to `RULES` rules are broadcast; more are joined by base and a salt of
+    the entries, as all entries meet the root's rules.
+    """
     inside = F.when(F.col("base") == "", F.col("path")).otherwise(F.expr("substring(path, length(base) + 2)"))
     subject = F.when(F.col("anchored"), inside).otherwise(F.substring_index("path", "/", -1))
-    hit = entries.join(F.broadcast(rules), below & (F.col("is_dir") | ~F.col("dir_only")) & F.call_function("regexp_like", subject, F.col("regex")))
+    e = entries.select("path", "is_dir", F.explode(F.concat(F.array(F.lit("")), F.filter(ancestors(F.col("path")), lambda x: x != F.col("path")))).alias("base"))
+    if len(rules.take(RULES + 1)) <= RULES:
+        hit = e.join(F.broadcast(rules), "base")
+    else:
+        salted = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = e.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, ["base", "_salt"])
+    hit = hit.filter((F.col("is_dir") | ~F.col("dir_only")) & F.call_function("regexp_like", subject, F.col("regex")))
     return hit.groupBy("path").agg(F.max_by("negated", "ord").alias("negated")).filter("NOT negated").select("path")
 
 
@@ -75,8 +94,7 @@ def visible(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """
     out = ignored(entries, rules)
     files = entries.filter("NOT is_dir AND NOT rlike(concat('/', path), '/[.]')")
-    parts = F.split("path", "/")
-    chain = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("up"))
+    chain = files.select("path", F.explode(ancestors(F.col("path"))).alias("up"))
     bad = chain.join(out.withColumnRenamed("path", "up"), "up", "left_semi").select("path").distinct()
     return files.join(bad, "path", "left_anti").select("path")
 
@@ -86,23 +104,30 @@ def known_extension(df: DataFrame, column: str = "file_path", only: list[str] |
 
 
 def walk(spark: SparkSession, root: str, rules: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
-    """file_path, content_hash and file_size of a directory's known files, read as binary files."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """file_path, content_hash, file_size and content (text) of a directory's known files.
+
+    Only files of a known extension are opened.  Files that aren't UTF-8 have no text.
+    """
+    known = sorted(only or EXTENSIONS)
+    name = "*.{" + ",".join(sorted({*known, *(x.upper() for x in known)})) + "}"
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
     base = re.escape(root.rstrip("/").removeprefix("file:"))
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "")
-    b = b.select(rel.alias("file_path"), F.substring(F.sha2("content", 256), 1, 32).alias("content_hash"), F.col("length").alias("file_size"))
-    b = known_extension(b, only=only).filter(~F.concat(F.lit("/"), "file_path").rlike(r"/\."))
-    if rules is None:
-        return b
-    dirs = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file_path", "/"))), lambda n: F.array_join(F.slice(F.split("file_path", "/"), 1, n), "/")))
-    up = b.select(dirs.alias("path"), "file_path").select("path", (F.col("path") != F.col("file_path")).alias("is_dir")).distinct()
-    return b.join(visible(up, rules).withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+    b = b.withColumn("file_path", rel)
+    b = known_extension(b, only=known).filter(~F.concat(F.lit("/"), "file_path").rlike(r"/\."))
+    if rules is not None:
+        up = b.select(F.explode(ancestors(F.col("file_path"))).alias("path"), "file_path").select("path", (F.col("path") != F.col("file_path")).alias("is_dir")).distinct()
+        b = b.join(visible(up, rules).withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+    text = F.when(F.expr("is_valid_utf8(cast(content AS string))"), F.col("content").cast("string"))
+    return b.select("file_path", F.substring(F.sha2("content", 256), 1, 32).alias("content_hash"), F.col("length").alias("file_size"), text.alias("content"))
 
 
 def roots(directories: DataFrame) -> DataFrame:
     """The repositories (path of directories with `.git`) that lie in no other one."""
-    d, up = directories.select("path").distinct(), directories.select(F.col("path").alias("above")).distinct()
-    return d.join(up, F.startswith(F.col("path"), F.concat("above", F.lit("/"))), "left_anti").orderBy("path")
+    d = directories.select("path").distinct()
+    above = d.select("path", F.explode(ancestors(F.col("path"))).alias("above")).filter("above <> path")
+    inner = above.join(d.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
+    return d.join(inner, "path", "left_anti").orderBy("path")
 
 
 def enclosing_root(paths: DataFrame, root: DataFrame) -> DataFrame:
@@ -110,8 +135,7 @@ def enclosing_root(paths: DataFrame, root: DataFrame) -> DataFrame:
 
     A path is exploded to its ancestors, so this is an equi join.
     """
-    parts = F.split("path", "/")
-    chain = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("root"))
+    chain = paths.select("path", F.explode(ancestors(F.col("path"))).alias("root"))
     best = chain.join(root.select("root").distinct(), "root", "left_semi").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
     return paths.join(best, "path", "left")
 
@@ -132,6 +156,28 @@ def porcelain(lines: DataFrame) -> DataFrame:
     return lines.filter(keep).select("position", path.alias("path"))
 
 
+def changed(lines: DataFrame) -> DataFrame:
+    """position and path of what a range of commits changed, from lines (position, line) of `git diff --name-status`: added, copied, modified and renamed files, by their new name."""
+    parts = F.split("line", "\t")
+    return lines.filter(F.col("line").rlike("^[ACMR]")).select("position", F.element_at(parts, -1).alias("path"))
+
+
+def diff_range(text: str) -> str:
+    """A range of commits as it is, a single commit up to HEAD."""
+    return text if ".." in text else f"{text}..HEAD"
+
+
+def matching(files: DataFrame, pattern: str) -> DataFrame:
+    """position and path of a file scope: the pattern itself where it has no `*`, `?` or `[`; else the files (file_path) that match, none of whose wildcards crosses a slash, in order."""
+    if not re.search(r"[*?\[]", pattern):
+        return files.sparkSession.createDataFrame([(0, pattern)], "position long, path string")
+    rx = glob_regex(pattern).replace("(?s:.*)", "[^/]*").replace("(?s:.)", "[^/]")
+    hidden = F.exists(F.split("path", "/"), lambda x: F.startswith(x, F.lit(".")))
+    hit = files.select(F.col("file_path").alias("path")).filter(F.col("path").rlike(rx))
+    hit = hit if re.search(r"(^|/)\.", pattern) else hit.filter(~hidden)
+    return hit.withColumn("position", F.row_number().over(Window.orderBy("path")).cast("long")).select("position", "path")
+
+
 def scope(paths: DataFrame, diagnosable: list[str]) -> DataFrame:
     """The safe, diagnosable paths, the first of equals, in order."""
     ok = paths.filter(safe_path(F.col("path")) & extension(F.col("path")).isin(diagnosable))

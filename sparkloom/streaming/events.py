@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tree import ancestors, visible
+
 BUCKET_GAPS = 1000
 
 
@@ -23,16 +26,16 @@ def sessions(events: DataFrame, gap_ms: int) -> DataFrame:
 
     Time is cut into buckets of BUCKET_GAPS gaps.  Gaps inside a bucket are found in it;
     those between buckets, and the numbers of earlier sessions, come from one
-    row a bucket.  No task sees all events.
+    row a bucket: a thousandth of the time range in gaps.  No task sees all events.
     """
     e = events.withColumn("_t", _millis(events, "ts")).withColumn("_b", F.floor(F.col("_t") / (gap_ms * BUCKET_GAPS)))
     w = Window.partitionBy("_b").orderBy("_t", "seq")
     edge = Window.orderBy("_b")
     ends = e.groupBy("_b").agg(F.max("_t").alias("_last")).withColumn("_before", F.lag("_last").over(edge)).select("_b", "_before")
-    e = e.join(F.broadcast(ends), "_b").withColumn("_prev", F.coalesce(F.lag("_t").over(w), F.col("_before")))
+    e = e.join(ends, "_b").withColumn("_prev", F.coalesce(F.lag("_t").over(w), F.col("_before")))
     e = e.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= gap_ms), 1).otherwise(0))
     starts = e.groupBy("_b").agg(F.sum("_new").alias("_n")).withColumn("_done", F.coalesce(F.sum("_n").over(edge.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_done")
-    e = e.join(F.broadcast(starts), "_b").withColumn("session", (F.col("_done") + F.sum("_new").over(w)).cast("long"))
+    e = e.join(starts, "_b").withColumn("session", (F.col("_done") + F.sum("_new").over(w)).cast("long"))
     return e.drop("_t", "_b", "_before", "_prev", "_new", "_done")
 
 
@@ -42,10 +45,16 @@ def debounce(events: DataFrame, gap_ms: int) -> DataFrame:
     return sessions(events, gap_ms).groupBy("session", "path").agg(last.alias("l")).select("session", "path", F.col("l.kind").alias("kind"), F.col("l.seq").alias("seq"))
 
 
-def accepted(events: DataFrame, extensions: list[str]) -> DataFrame:
-    """Events on known, not hidden files."""
+def accepted(events: DataFrame, extensions: list[str], root: str = "", rules: DataFrame | None = None) -> DataFrame:
+    """Events on known files under the root that are neither hidden nor ignored, with paths below the root."""
+    if root:
+        events = events.filter(F.startswith("path", F.lit(root + "/"))).withColumn("path", F.substring("path", len(root) + 2, 1 << 30))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return events.filter(ext.isin(extensions) & ~F.concat(F.lit("/"), F.col("path")).rlike(r"/\."))
+    fine = events.filter(ext.isin(extensions) & ~F.concat(F.lit("/"), F.col("path")).rlike(r"/\."))
+    if rules is None:
+        return fine
+    up = fine.select(F.explode(ancestors(F.col("path"))).alias("up"), "path").select(F.col("up").alias("path"), (F.col("up") != F.col("path")).alias("is_dir")).distinct()
+    return fine.join(visible(up, rules), "path", "left_semi")
 
 
 def debounce_stream(events: DataFrame, gap_ms: int) -> DataFrame:
@@ -56,8 +65,8 @@ def debounce_stream(events: DataFrame, gap_ms: int) -> DataFrame:
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        number, last, held = state.get if state.exists else (0, -1, "")
-        open_ = {p: (int(t), int(s), k) for p, t, s, k in (x.split("\x1f") for x in held.split("\x1e") if x)}
+        number, last, held = state.get if state.exists else (0, -1, "{}")
+        open_ = {p: tuple(x) for p, x in json.loads(held).items()}
         out = []
 
         def close() -> None:
@@ -76,7 +85,7 @@ def debounce_stream(events: DataFrame, gap_ms: int) -> DataFrame:
                     close()
                 last = max(last, int(t))
                 open_[p] = max(open_.get(p, (-1, -1, "")), (int(t), int(s), k))
-        state.update((number, last, "\x1e".join(f"{p}\x1f{t}\x1f{s}\x1f{k}" for p, (t, s, k) in open_.items())))
+        state.update((number, last, json.dumps(open_)))
         if open_:
             state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session", "path", "kind", "seq"])

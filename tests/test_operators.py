@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text
 from sparkloom.functions.text import glob_regex, query_tokens, safe_path, tokens, with_fuzzy
-from sparkloom.operators import diagnostics, duplicates, graph, grep, layers, maintain, search, symbols
+from sparkloom.operators import diagnostics, duplicates, fanout, graph, grep, layers, maintain, search, symbols
 from sparkloom.operators.edges import flatten, resolve, with_parents
 
 EDGE = "edge_id long, caller_id long, callee_id long, file_path string, from_ranges string, source string"
@@ -214,3 +215,69 @@ def test_call_edges_with_names_that_differ_in_case(spark):
     sites = spark.createDataFrame([(1, "f", 101, "new"), (2, "b", 41, "new"), (3, "e", 71, "new"), (4, "f", 101, "neW"), (5, "f", 101, "none")], "site_id int, file_path string, line int, name string")
     got = {r.site_id: (r.callee_file, r.callee_path) for r in resolve(sites, chunks).collect()}
     assert got == {1: ("b", "new"), 2: ("c", "new"), 3: ("e", "Y.new"), 4: ("d", "X.new")}
+
+
+def test_distinct_trigrams():
+    rng = random.Random(2)
+    texts = ["", "a", "ab", "abc", "aaaa", "é漢😀é漢😀", "x" * 5000] + ["".join(rng.choices("abcdé漢 ", k=rng.randint(0, 60))) for _ in range(300)]
+    want = [len({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts]
+    assert text.distinct_trigrams(texts).tolist() == text.distinct_trigrams(texts, width=10).tolist() == want
+    many = ["".join(map(chr, range(0x4E00, 0x9000))) + "".join(map(chr, range(0x20000, 0x2F000)))] * 2
+    assert text.distinct_trigrams(many).tolist() == [len(many[0]) - 2] * 2
+
+
+def test_trigram_scores(spark):
+    df = spark.createDataFrame([(1, "a.license", "the license version"), (2, "b", None), (3, None, "LICENSE"), (4, "x", "nothing")], "chunk_id long, symbol_path string, text string")
+    got = {r.chunk_id: r.trigram for r in search.trigram(df, "license").collect()}
+    grams = lambda t: {t.lower()[i : i + 3] for i in range(len(t) - 2)}
+    dice = lambda t: 2 * len(grams(t) & grams("license")) / (len(grams(t)) + 5)
+    assert got == {1: pytest.approx(5 * dice("a.license") + dice("the license version")), 3: pytest.approx(dice("LICENSE"))}
+    assert search.trigram(df, "ab").collect() == []
+
+
+def test_references_fall_through_the_layers(spark):
+    chunks = spark.createDataFrame([(1, "a.py", 0, 2, "A.run", "def run\n  helper()", "function"), (2, "b.py", 5, 5, "B.helper", "helper = 1", "other"), (3, "c.py", 1, 1, "C.x", "x", "other")], "chunk_id long, file_path string, start_line int, end_line int, symbol_path string, text string, kind string")
+    symbols_ = spark.createDataFrame([(7, "run", "function", "a.py", 0, 2), (8, "main", "function", "b.py", 0, 9)], "symbol_id long, name string, kind string, file_path string, start_line int, end_line int")
+    calls = spark.createDataFrame([(8, 7, "b.py", "[[3,0,3,4]]")], "caller_id long, callee_id long, file_path string, from_ranges string")
+    none = spark.createDataFrame([], "file_path string, start_line int, end_line int")
+    live = spark.createDataFrame([("z.py", 3, 3), ("z.py", 1, 1)], "file_path string, start_line int, end_line int")
+    ask = lambda line, live=none, calls=calls, **how: [tuple(r) for r in layers.references("a.py", line, live, symbols_, calls, chunks, **how).orderBy("file_path", "start_line").collect()]
+    assert ask(0, live, limit=1) == [("z.py", 1, None, "liveLSP", 2)]
+    assert ask(0) == [("b.py", 3, "main", "lspIndex", 1)]
+    assert ask(1, calls=calls.limit(0)) == [("a.py", 0, "run", "treeSitter", 2), ("b.py", 5, "main", "treeSitter", 2)]
+    assert ask(9) == []
+
+
+def test_fan_out_keeps_going(spark):
+    ok = spark.createDataFrame([(1, "x"), (2, "y")], "rank int, v string")
+    late = ok.withColumn("v", F.raise_error(F.lit("late")).cast("string"))
+    got, failed = fanout.fan_out(spark, {"b": lambda: ok, "a": lambda: ok, "c": lambda: late, "d": lambda: 1 / 0}, 3)
+    assert [(r["root"], r["v"]) for r in got.orderBy("position").collect()] == [("a", "x"), ("b", "x"), ("a", "y")]
+    assert {r["root"] for r in failed.collect()} == {"c", "d"}
+    assert fanout.fan_out(spark, {}, 3)[0] is None
+
+
+def test_root_of_a_name_or_place(spark):
+    symbols_ = spark.createDataFrame([(7, "run", "function", "a.py", 0, 2, 0), (8, "main", "function", "b.py", 4, 9, 0)], "symbol_id long, name string, kind string, file_path string, start_line int, end_line int, start_column int")
+    named = symbols_.select("file_path", "start_line", "name", F.col("name").alias("qualified_path"))
+    ask = lambda x: [r.node_id for r in graph.root_of(x, named, symbols_).collect()]
+    assert ask("b.py:5:0") == [8] and ask("run") == [7] and ask("mn") == [8]
+    with pytest.raises(graph.NotFound):
+        ask("nothing_like_it")
+
+
+def test_duplicates_in_blocks_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", 16)
+    rng = random.Random(4)
+    rows = [(i, f"f{i % 7}", f"s{i % 50}", ("function", "method", "type", "x")[i % 4], [rng.gauss(0, 1) for _ in range(4)], "t" * (150 if i % 9 else 20)) for i in range(150)]
+    df = spark.createDataFrame(rows, "chunk_id long, file_path string, symbol_path string, kind string, embedding array<double>, text string")
+    part = lambda k: {"function": "c", "method": "c"}.get(k, k)
+    for file in (None, "f3"):
+        want = set()
+        for a in rows:
+            if len(a[5]) >= 100 and file in (None, a[1]):
+                near = [(round(-sum(x * y for x, y in zip(a[4], b[4])), 9), b[0]) for b in rows if len(b[5]) >= 100 and part(a[3]) == part(b[3]) and a[1:3] != b[1:3]]
+                want |= {(a[0], b, k + 1) for k, (s, b) in enumerate(sorted(x for x in near if -x[0] >= 1.5)[:5])}
+        got = {(r.source_id, r.match_id, r["rank"]) for r in duplicates.find_duplicates(df, file=file, min_similarity=1.5).collect()}
+        assert got == want and got, file
+    assert duplicates.compared(df).first()["compared"] == sum(len(r[5]) >= 100 for r in rows)

@@ -91,3 +91,37 @@ def test_codec_round_trip(spark):
     df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<float>")
     back = df.select(codec.from_blob(codec.to_blob("v")).alias("v")).collect()
     assert [r.v for r in back] == [[1.5, -2.0], [], None]
+
+
+def test_range_and_glob_scopes(spark):
+    lines = [(0, "M\tsrc/a.py"), (1, "D\tsrc/b.py"), (2, "R100\told.py\tsrc/c.py"), (3, "A\t../x.py"), (4, "T\tsrc/t.py"), (5, "M\tsrc/a.py")]
+    got = tree.scope(tree.changed(spark.createDataFrame(lines, "position long, line string")), ["py"]).collect()
+    assert [r.path for r in got] == ["src/a.py", "src/c.py"]
+    assert tree.diff_range("main") == "main..HEAD" and tree.diff_range("a..b") == "a..b"
+    files = spark.createDataFrame([("src/a.py",), ("src/sub/b.py",), ("src/.h.py",), ("src/b.txt",)], "file_path string")
+    ask = lambda p: [r.path for r in tree.matching(files, p).orderBy("position").collect()]
+    assert ask("src/*.py") == ["src/a.py"] and ask("src/*/b.??") == ["src/sub/b.py"] and ask("no/such.py") == ["no/such.py"] and ask("zzz*") == []
+
+
+def test_rules_beyond_the_broadcast(spark, monkeypatch):
+    entries = spark.createDataFrame([("a/x.log", False), ("a/y.py", False), ("a", True), ("b/x.log", False), ("b/keep.log", False), ("b", True)], "path string, is_dir boolean")
+    rules = tree.ignore_rules(spark, {"": "*.log\n", "b": "!keep.log\n"})
+    want = ["a/y.py", "b/keep.log"]
+    assert sorted(r.path for r in tree.visible(entries, rules).collect()) == want
+    monkeypatch.setattr(tree, "RULES", 1)
+    assert sorted(r.path for r in tree.visible(entries, rules).collect()) == want
+
+
+def test_walk(spark, tmp_path):
+    for name, content in (("src/a.py", b"x = 1\n"), ("src/B.PY", b"y"), ("src/c.bin", b"z"), (".git/d.py", b"z"), ("build/e.py", b"z"), ("f.md", b"\xff\xfe"), ("g.rs", "é".encode())):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    rows = {r.file_path: r for r in tree.walk(spark, str(tmp_path), tree.ignore_rules(spark, {"": "build/\n"})).collect()}
+    assert set(rows) == {"src/a.py", "src/B.PY", "f.md", "g.rs"}
+    assert rows["src/a.py"].content == "x = 1\n" and rows["f.md"].content is None and rows["g.rs"].content == "é" and rows["g.rs"].file_size == 2
+
+
+def test_accepted_events(spark):
+    e = spark.createDataFrame([(1, "/ws/a.py"), (2, "/ws/.git/b.py"), (3, "/other/a.py"), (4, "/ws/build/c.py"), (5, "/ws/d.bin"), (6, "/ws/a.py")], "seq long, path string")
+    got = events.accepted(e, ["py"], "/ws", tree.ignore_rules(spark, {"": "build/\n"}))
+    assert sorted((r.seq, r.path) for r in got.collect()) == [(1, "a.py"), (6, "a.py")]
