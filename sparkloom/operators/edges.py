@@ -17,7 +17,12 @@ class QueryError(ValueError):
 
 
 def resolve(sites: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One edge at most for each call site (site_id, file_path, line, name): site_id, caller_path, callee_file, callee_path, callee_line.
+    """`located` without the places that the sites and callers have."""
+    return located(sites, chunks).select("site_id", "caller_path", "callee_file", "callee_path", "callee_line")
+
+
+def located(sites: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One edge at most for each call site (site_id, file_path, line, name): site_id, file_path, line, caller_path, caller_line, callee_file, callee_path, callee_line.
 
     The caller is the narrowest chunk around the site.  A callee's path is the name, or
     ends in it after a dot in any case; it isn't the caller itself.  Candidates
@@ -34,8 +39,8 @@ def resolve(sites: DataFrame, chunks: DataFrame) -> DataFrame:
     near = named.withColumn("n", F.row_number().over(Window.partitionBy(*group, "file_path").orderBy(*order))).filter("n <= 2")
     far = named.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("file_path", *order))).filter("n <= 2")
     # the site goes along as the position's id, so it isn't joined again
-    at = sites.select(F.struct("site_id", "file_path", "name").alias("query_id"), "file_path", "line")
-    caller = enclosing(at, c, "chunk_id").select("query_id.site_id", "query_id.file_path", "query_id.name", F.lower("query_id.name").alias("key"), F.col("symbol_path").alias("caller_path"))
+    at = sites.select(F.struct("site_id", "file_path", "name", "line").alias("query_id"), "file_path", "line")
+    caller = enclosing(at, c, "chunk_id").select("query_id.*", F.lower("query_id.name").alias("key"), F.col("symbol_path").alias("caller_path"), F.col("start_line").alias("caller_line"))
     fits = F.col("dotted") | (F.col("symbol_path") == F.col("name"))
     other = (F.col("callee_file") != F.col("file_path")) | (F.col("callee_path") != F.col("caller_path"))
     pick = lambda df: df.select("key", "dotted", F.col("file_path").alias("callee_file"), F.col("symbol_path").alias("callee_path"), F.col("start_line").alias("callee_line"))
@@ -43,7 +48,18 @@ def resolve(sites: DataFrame, chunks: DataFrame) -> DataFrame:
     b = caller.join(pick(far).withColumn("same", F.lit(1)), "key")
     both = a.unionByName(b).withColumn("symbol_path", F.col("callee_path")).filter(fits & other)
     best = F.min(F.struct("same", "callee_file", "callee_line", "callee_path"))
-    return both.groupBy("site_id", "caller_path").agg(best.alias("b")).select("site_id", "caller_path", "b.callee_file", "b.callee_path", "b.callee_line")
+    own = ["site_id", F.col("file_path"), "line", "caller_path", "caller_line"]
+    return both.groupBy(*own).agg(best.alias("b")).select(*own, "b.callee_file", "b.callee_path", "b.callee_line")
+
+
+def emit(sites: DataFrame, chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The call edges of sites between symbols: edge_id, caller_id, callee_id, caller_file, callee_file, file_path, from_ranges and source."""
+    at = symbols.select(F.col("file_path").alias("_f"), F.col("start_line").alias("_l"), "symbol_id")
+    end = lambda which, file, line: at.select(F.col("_f").alias(file), F.col("_l").alias(line), F.col("symbol_id").alias(which))
+    e = located(sites, chunks).withColumn("caller_file", F.col("file_path"))
+    e = e.join(end("caller_id", "caller_file", "caller_line"), ["caller_file", "caller_line"]).join(end("callee_id", "callee_file", "callee_line"), ["callee_file", "callee_line"])
+    ranges = F.concat(F.lit("[["), "line", F.lit(",0,"), "line", F.lit(",0]]"))
+    return e.select(F.col("site_id").alias("edge_id"), "caller_id", "callee_id", "caller_file", "callee_file", "file_path", ranges.alias("from_ranges"), F.lit("treesitter").alias("source"))
 
 
 def ensure_symbols(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
