@@ -14,8 +14,11 @@ which stays put until half of a group is junk.  Documents are filtered by a join
 with the thresholds of their group.  Sketches of up to `SKETCH_K` values are
 exact; above, ranks are off by about 1/SKETCH_K.
 
-Nulls: null languages and sources form groups of their own.  A null text, or
-one without a word, breaks the rule `words`.  An empty table gives none.
+Nulls: null languages and sources form groups of their own; a null id is kept as it is.
+A null or empty text, or one without a word, breaks the rule `words`.  Very long texts
+are measured whole.  Repeated rows count, and are judged, once for each row.  Ties: a
+measure equal to its threshold keeps to the rule.  An empty table gives an empty result;
+further columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
