@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); `run` writes what it returns as Parquet
 to the shared folder and reads it again as the next stage's documents.
+
+All stages but the last return the columns that they get, in their order; columns of any
+further name go along, also where they clash with names that a stage uses.  Repeated rows
+stay repeated rows, and a table without rows gives none.  Texts are read whole.
 """
 
 from __future__ import annotations
@@ -17,27 +21,46 @@ from sparkloom.llm.secret_scan import mask_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose nearest labelled neighbours vote against them go."""
+    """Documents whose nearest labelled neighbours vote against them go.
+
+    A null or empty text has no neighbours and stays; without labels all stay.  A score of
+    exactly one half stays; of equally near neighbours the one of the lesser id votes.
+    """
     return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without words, or whose words fit no language, go."""
+    """Documents without words, or whose words fit no language, go.
+
+    So null and empty texts go.  Without any document of a known `lang` all stay.  A
+    certainty of exactly the threshold stays.
+    """
     return drop_unidentified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
+    """Of each group of near duplicates the document with the least id stays.
+
+    Rows with a null id, and texts without a word, are in no group and stay.  Rows that
+    repeat an id stay or go together.
+    """
     return drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text, and n_chars follows."""
+    """Secrets are masked in the text, and n_chars follows where a text changes.
+
+    All rows stay, null and empty texts as they are.
+    """
     return mask_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed into sequences."""
+    """Documents are packed into sequences: a row for each piece.
+
+    Null and empty texts have no piece; rows with a null id and repeated rows are packed
+    like others, of equal lengths in the order of the table's rows.
+    """
     return pack(docs)
 
 
