@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import with_rank
 from ..functions.text import leaf
 from ..plans.session import forget, shared, shared_path
 from .layers import enclosing
@@ -91,49 +92,90 @@ def with_parents(nodes: DataFrame) -> DataFrame:
     return both.filter("as_parent IS NULL").select("file", "node_id", "kind", "depth", "parent_id")
 
 
-def compile_query(text: str) -> list[tuple[str, str | None]]:
-    """(kind, capture) from the outermost node inwards, of a query such as `(ul (li (a) @link) @item)`; `_` is any kind."""
-    parts = re.findall(r"\(|\)|@[\w.]+|[\w\-]+|\S", text)
-    chain: list[list] = []
+def compile_query(text: str) -> list[tuple[str, str | None, int, str | None]]:
+    """(kind, capture, number of the node above or -1, text predicate) of the nodes, in order, of a query such as `(ul (li) @a (li (a) @b))`.
+
+    `_` is any kind; nodes inside one node are siblings in this order.  `(#eq? @a "text")`
+    and `(#match? @a "regex")` after a node ask for the text of a capture; the predicate
+    is an SQL condition on the column `text`.
+    """
+    parts = re.findall(r'"(?:\\.|[^"\\])*"|#[\w\-]+\?|[()]|@[\w.]+|[\w\-]+|\S', text)
+    nodes: list[list] = []
     stack: list[int] = []
     at, last = 0, None
     while at < len(parts):
         p = parts[at]
-        if p == "(":
-            if at + 1 >= len(parts) or not re.fullmatch(r"[\w\-]+", parts[at + 1]) or (last is not None and not stack):
+        if p == "(" and parts[at + 1 : at + 2] and parts[at + 1] in ("#eq?", "#match?"):
+            rest = parts[at + 1 : at + 5]
+            if len(rest) < 4 or rest[3] != ")" or not rest[1].startswith("@") or not rest[2].startswith('"'):
+                raise QueryError(text)
+            hit = [n for n in nodes if n[1] == rest[1][1:]]
+            if not hit:
+                raise QueryError("no capture " + rest[1])
+            value = re.sub(r"\\(.)", r"\1", rest[2][1:-1]) if rest[0] == "#eq?" else rest[2][1:-1]
+            for n in hit:
+                n[3] = [*(n[3] or []), (rest[0], value)]
+            at += 5
+        elif p == "(":
+            if at + 1 >= len(parts) or not re.fullmatch(r"[\w\-]+", parts[at + 1]) or (nodes and not stack):
                 raise QueryError(text)
-            if len(chain) != len(stack):
-                raise QueryError("one child a node: " + text)
-            chain.append([parts[at + 1], None])
-            stack.append(len(chain) - 1)
+            nodes.append([parts[at + 1], None, stack[-1] if stack else -1, None])
+            stack.append(len(nodes) - 1)
+            last = None
             at += 2
-            continue
-        if p == ")" and stack:
+        elif p == ")" and stack:
             last = stack.pop()
+            at += 1
         elif p.startswith("@") and last is not None:
-            chain[last][1] = p[1:]
+            nodes[last][1] = p[1:]
+            at += 1
         else:
             raise QueryError(text)
-        at += 1
-    if stack or not chain:
+    if stack or not nodes:
         raise QueryError(text)
-    return [(k, c) for k, c in chain]
+    return [tuple(n) for n in nodes]
 
 
-def query_nodes(nodes: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
-    """file, node_id, kind and capture of the captured nodes, in order of file and node.  `nodes` has parents."""
-    chain = compile_query(query)
-    n = len(chain)
+def query_matches(nodes: DataFrame, query: str) -> DataFrame:
+    """One row for each match: file, and the node (node_id, kind) of every pattern node as n0, n1, ...  `nodes` has parents."""
     df = None
-    for k, (kind, _) in enumerate(chain):
+    pattern = compile_query(query)
+    for k, (kind, _, above, asked) in enumerate(pattern):
         level = nodes if kind == "_" else nodes.filter(F.col("kind") == kind)
-        level = level.select("file", F.col("node_id").alias(f"n{k}"), F.col("kind").alias(f"k{k}"), F.col("parent_id").alias(f"p{k}"))
-        df = level if df is None else df.join(level.withColumnRenamed("file", "_f"), (F.col("file") == F.col("_f")) & (F.col(f"p{k}") == F.col(f"n{k - 1}"))).drop("_f")
-    captures = [F.struct(F.col(f"n{k}").alias("node_id"), F.col(f"k{k}").alias("kind"), F.lit(c).alias("capture")) for k, (_, c) in enumerate(chain) if c] or [F.struct(F.col(f"n{n - 1}").alias("node_id"), F.col(f"k{n - 1}").alias("kind"), F.lit("").alias("capture"))]
-    out = df.select("file", F.explode(F.array(*captures)).alias("c")).select("file", "c.*").distinct()
+        for how, value in asked or []:
+            level = level.filter(F.col("text") == value if how == "#eq?" else F.col("text").rlike(value))
+        level = level.select(F.col("file").alias("_f"), F.struct("node_id", "kind").alias(f"n{k}"), F.col("parent_id").alias("_p"))
+        if df is None:
+            df = level.withColumnRenamed("_f", "file").drop("_p")
+            continue
+        here = (F.col("file") == F.col("_f")) & (F.col("_p") == F.col(f"n{above}.node_id"))
+        elder = max((j for j in range(k) if pattern[j][2] == above), default=None)
+        if elder is not None:
+            here &= F.col(f"n{k}.node_id") > F.col(f"n{elder}.node_id")
+        df = df.join(level, here).drop("_f", "_p")
+    return df
+
+
+def query_nodes(nodes: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
+    """file, node_id, kind and capture of the captured nodes, in order of file and node."""
+    pattern = compile_query(query)
+    named = [F.struct(f"n{k}.node_id", f"n{k}.kind", F.lit(c).alias("capture")) for k, (_, c, *_) in enumerate(pattern) if c]
+    named = named or [F.struct(f"n{len(pattern) - 1}.node_id", f"n{len(pattern) - 1}.kind", F.lit("").alias("capture"))]
+    out = query_matches(nodes, query).select("file", F.explode(F.array(*named)).alias("c")).select("file", "c.*").distinct()
     return out if limit is None else out.orderBy("file", "node_id", "capture").limit(limit)
 
 
+def query_progress(nodes: DataFrame, files: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """One row: files_scanned and truncated.  Files (column file) are scanned in order until `limit` matches are met."""
+    n = query_matches(nodes, query).groupBy("file").agg(F.count("*").alias("n"))
+    best = with_rank(files.select("file").distinct().join(n, "file", "left").withColumn("n", F.coalesce("n", F.lit(0))), "place", F.col("file"))
+    # the last file is the first one with which the matches reach the limit: among the first `limit` files that have any
+    some = best.filter("n > 0").orderBy("place").limit(limit)
+    met = some.withColumn("sum", F.sum("n").over(Window.orderBy("place")))
+    end = met.agg(F.min(F.when(F.col("sum") >= limit, F.col("place"))).alias("end"))
+    return best.agg(F.count("*").alias("all")).crossJoin(F.broadcast(end)).select(F.coalesce("end", "all").alias("files_scanned"), F.col("end").isNotNull().alias("truncated"))
+
+
 def flatten(nodes: DataFrame) -> DataFrame:
     """file, node_id and path: every node's kind after those of the nodes above, joined by dots.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import with_rank
+
 FLAGS = {"treesitter": "ts_indexed", "lsp": "lsp_indexed", "embedding": "embedded"}
 
 
@@ -123,6 +125,39 @@ def signature_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, F.col("o.file_path") == F.col("n.file_path"), "full").select(F.coalesce("o.file_path", "n.file_path").alias("file_path"), status.alias("status")).filter("status IS NOT NULL")
 
 
+def batches(index: DataFrame, layer: str, size: int = 50) -> DataFrame:
+    """file_path and batch (from 0) of the files that a layer hasn't done: `size` at a time, by path."""
+    due = with_rank(index.filter(~F.col(FLAGS[layer])).select("file_path"), "place", F.col("file_path"))
+    return due.select("file_path", F.floor((F.col("place") - 1) / size).alias("batch"))
+
+
+def settle_outcomes(index: DataFrame, outcomes: DataFrame, layer: str) -> DataFrame:
+    """The index after a batch: files that were done, unsafe or unreadable (outcome) count as done; those that failed at the server stay due, and no failure stops the others."""
+    done = outcomes.filter(F.col("outcome").isin("done", "unsafe", "unreadable"))
+    return mark_indexed(index, done, layer)
+
+
+def re_extract(symbols: DataFrame, fresh: DataFrame, edges: DataFrame, fresh_edges: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
+    """symbols, edges and files after files were extracted anew.
+
+    Symbols of the files in `fresh` whose start line is gone are deleted, edges with such
+    an end go with them, and the other files of those edges are due again; symbols at the
+    same place keep their id and take the new name and kind; reported edges of the extracted
+    files are replaced.
+    """
+    gone = vanished(symbols, fresh)
+    due = invalidated(gone, edges).join(fresh.select("file_path").distinct(), "file_path", "left_anti")
+    dead = gone.select("symbol_id")
+    covered = fresh.select("file_path").distinct()
+    old = symbols.join(covered, "file_path", "left_semi").select("file_path", "start_line", F.col("symbol_id").alias("_id"))
+    new = fresh.join(old, ["file_path", "start_line"], "left").withColumn("symbol_id", F.coalesce("_id", "symbol_id")).drop("_id")
+    kept = edges.join(dead.withColumnRenamed("symbol_id", "caller_id"), "caller_id", "left_anti").join(dead.withColumnRenamed("symbol_id", "callee_id"), "callee_id", "left_anti")
+    kept = kept.join(covered.withColumn("_c", F.lit(1)), "file_path", "left").filter("_c IS NULL OR source <> 'lsp'").drop("_c")
+    flags = index.join(due.withColumn("_due", F.lit(True)), "file_path", "left")
+    flags = flags.withColumn("lsp_indexed", F.col("lsp_indexed") & F.col("_due").isNull()).drop("_due")
+    return {"symbols": symbols.join(covered, "file_path", "left_anti").unionByName(new), "edges": kept.unionByName(fresh_edges), "files": mark_indexed(flags, covered, "lsp")}
+
+
 def readiness(progress: DataFrame, servers: DataFrame) -> DataFrame:
     """One row: drained and ready.  A server is settled when running, not found, or failed at least 5 times."""
     drained = progress.agg(F.coalesce(F.bool_and((F.col("parsed") >= F.col("walked")) & (F.col("embedded") >= F.col("walked")) & (F.col("lsp_indexed") >= F.col("walked"))), F.lit(True)).alias("drained"))

@@ -278,3 +278,30 @@ SELECT root, CASE WHEN root = w THEN 'exact' WHEN starts_with(w, root || '/') TH
     "fanout_failures": "SELECT 'broken' AS root",
     "fanout_grep": f"WITH {LINES}, h AS (SELECT lang AS root, chunk_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY file_path, start_line, chunk_id) AS INTEGER) AS rank FROM chunks WHERE lang IN ('en', 'fr') AND regexp_matches(text, 'licen[cs]ed?')) SELECT *, CAST(row_number() OVER (ORDER BY rank, root) AS INTEGER) AS position FROM h WHERE rank <= 40 ORDER BY rank, root LIMIT 40",
 }
+_OLD = "one AS (SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY file_path, start_line ORDER BY symbol_id DESC) = 1)"
+_FRESH = f"""{SYMBOLS}, {EDGES}, {_OLD},
+fresh AS (SELECT * FROM symbols WHERE file_path IN ('src/n1.py', 'src/n2.py') AND kind <> 'struct' QUALIFY row_number() OVER (PARTITION BY file_path, start_line ORDER BY symbol_id) = 1),
+gone AS (SELECT * FROM one WHERE file_path IN (SELECT file_path FROM fresh) AND (file_path, start_line) NOT IN (SELECT (file_path, start_line) FROM fresh))"""
+
+SQL |= {
+    "grep_positions": rf"""WITH {LINES},
+h AS (SELECT chunk_id, string_split_regex(text, '[Tt]h[aeiou]+n') AS p, regexp_extract_all(text, '[Tt]h[aeiou]+n') AS m FROM chunks WHERE regexp_matches(text, '[Tt]h[aeiou]+n')),
+u AS (SELECT chunk_id, p, m, unnest(generate_series(1, len(m))) AS k FROM h),
+s AS (SELECT chunk_id, m[k] AS hit, list_sum(list_transform(p[1:k], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: strlen(x))), 0) AS a FROM u)
+SELECT chunk_id, CAST(a AS INTEGER) AS start, CAST(a + strlen(hit) AS INTEGER) AS "end" FROM s""",
+    "ast_siblings": f"""WITH {_NODES},
+hit AS (SELECT u.file, x.node_id AS x, y.node_id AS y, z.node_id AS z FROM tree u JOIN tree x ON x.file = u.file AND x.parent_id = u.node_id AND x.kind = 'li' JOIN tree y ON y.file = u.file AND y.parent_id = u.node_id AND y.kind = 'li' AND y.node_id > x.node_id
+  JOIN tree z ON z.file = u.file AND z.parent_id = y.node_id AND z.kind = 'a' WHERE u.kind = 'ul')
+SELECT DISTINCT file, x AS node_id, 'li' AS kind, 'first' AS capture FROM hit UNION ALL SELECT DISTINCT file, z, 'a', 'link' FROM hit""",
+    "ast_progress": f"""WITH {_NODES},
+n AS (SELECT z.file, count(*) AS n FROM tree u JOIN tree x ON x.file = u.file AND x.parent_id = u.node_id AND x.kind = 'li' JOIN tree z ON z.file = u.file AND z.parent_id = x.node_id AND z.kind = 'a' WHERE u.kind = 'ul' GROUP BY z.file),
+f AS (SELECT page_id AS file, row_number() OVER (ORDER BY page_id) AS place, sum(coalesce(n, 0)) OVER (ORDER BY page_id) AS total FROM pages LEFT JOIN n ON n.file = page_id)
+SELECT coalesce(min(place) FILTER (total >= 200), count(*)) AS files_scanned, max(total) >= 200 AS truncated FROM f""",
+    "drain_batches": f"WITH {FILES}, {INDEX} SELECT file_path, (row_number() OVER (ORDER BY file_path) - 1) // 50 AS batch FROM idx WHERE NOT lsp_indexed",
+    "drain_outcomes": f"WITH {FILES}, {INDEX} SELECT file_path, lsp_indexed OR length(file_path) % 4 <> 3 AS lsp_indexed FROM idx",
+    "re_extract_symbols": f"WITH {_FRESH} SELECT symbol_id, name, file_path, start_line FROM one WHERE file_path NOT IN (SELECT file_path FROM fresh) UNION ALL SELECT o.symbol_id, upper(f.name), f.file_path, f.start_line FROM fresh f JOIN one o ON o.file_path = f.file_path AND o.start_line = f.start_line",
+    "re_extract_edges": f"""WITH {_FRESH} SELECT edge_id, caller_id, callee_id, file_path, source FROM edges WHERE caller_id NOT IN (SELECT symbol_id FROM gone) AND callee_id NOT IN (SELECT symbol_id FROM gone) AND (source <> 'lsp' OR file_path NOT IN (SELECT file_path FROM fresh))
+UNION ALL SELECT -edge_id, caller_id, callee_id, file_path, source FROM edges WHERE file_path = 'src/n1.py' AND source = 'lsp'""",
+    "re_extract_files": f"WITH {_FRESH} SELECT DISTINCT file_path, file_path IN (SELECT file_path FROM fresh) OR file_path NOT IN (SELECT e.file_path FROM edges e JOIN gone g ON (e.caller_id = g.symbol_id OR e.callee_id = g.symbol_id) AND e.file_path <> g.file_path) AS lsp_indexed FROM symbols",
+    "server_ready": "WITH r AS (SELECT 's' || (user_id % 200) AS server, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN -32801 WHEN 1 THEN -32802 ELSE -32603 END END AS code FROM events) SELECT server, coalesce(arg_max(code IS NULL, (ts, seq)) FILTER (code IS NULL OR code <> -32603), false) AS ready FROM r GROUP BY server",
+}

@@ -457,6 +457,50 @@ def fanout_grep(m: Model) -> DataFrame:
     return found.select("root", "chunk_id", "rank", "position")
 
 
+@query
+def drain_batches(m: Model) -> DataFrame:
+    return maintain.batches(_index(m), "lsp")
+
+
+@query
+def drain_outcomes(m: Model) -> DataFrame:
+    kinds = F.element_at(F.array(*map(F.lit, ("done", "unsafe", "unreadable", "error"))), (F.length("file_path") % 4 + 1).cast("int"))
+    return maintain.settle_outcomes(_index(m), _index(m).select("file_path", kinds.alias("outcome")), "lsp").select("file_path", "lsp_indexed")
+
+
+def _extracted(m: Model) -> dict[str, DataFrame]:
+    s, e = m.symbols(), m.edges().select("edge_id", "caller_id", "callee_id", "file_path", "source")
+    fresh = s.filter("file_path IN ('src/n1.py', 'src/n2.py') AND kind <> 'struct'").withColumn("name", F.upper("name")).withColumn("symbol_id", -F.col("symbol_id") - 1)
+    # one symbol a place, as the identity is
+    fresh = fresh.groupBy("file_path", "start_line").agg(F.max_by(F.struct(*[c for c in fresh.columns if c not in ("file_path", "start_line")]), "symbol_id").alias("r")).select("file_path", "start_line", "r.*")
+    again = e.filter("file_path = 'src/n1.py' AND source = 'lsp'").withColumn("edge_id", -F.col("edge_id"))
+    files = s.select("file_path").distinct().select("file_path", *[F.lit(True).alias(f) for f in maintain.FLAGS.values()])
+    one = s.groupBy("file_path", "start_line").agg(F.max_by(F.struct(*[c for c in s.columns if c not in ("file_path", "start_line")]), "symbol_id").alias("r")).select("file_path", "start_line", "r.*")
+    return maintain.re_extract(one, fresh, e, again, files)
+
+
+@query
+def re_extract_symbols(m: Model) -> DataFrame:
+    return _extracted(m)["symbols"].select("symbol_id", "name", "file_path", "start_line")
+
+
+@query
+def re_extract_edges(m: Model) -> DataFrame:
+    return _extracted(m)["edges"]
+
+
+@query
+def re_extract_files(m: Model) -> DataFrame:
+    return _extracted(m)["files"].select("file_path", "lsp_indexed")
+
+
+@query
+def server_ready(m: Model) -> DataFrame:
+    e = m.table("events")
+    code = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, -32801).when(F.col("event_id") % 3 == 1, -32802).otherwise(-32603))
+    return events.server_ready(e.select(F.concat(F.lit("s"), F.col("user_id") % 200).alias("server"), "ts", F.col("event_id").alias("seq"), code.alias("error_code")))
+
+
 @query
 def mark_uncovered(m: Model) -> DataFrame:
     return maintain.mark_uncovered(_index(m), ["en", "fr"]).select("file_path", "lsp_indexed")
@@ -634,6 +678,17 @@ def ast_query(m: Model) -> DataFrame:
     return edges.query_nodes(edges.with_parents(m.nodes()), "(ul (li (a) @link))", limit=None)
 
 
+@query
+def ast_siblings(m: Model) -> DataFrame:
+    return edges.query_nodes(edges.with_parents(m.nodes()), "(ul (li) @first (li (a) @link))", limit=None)
+
+
+@query
+def ast_progress(m: Model) -> DataFrame:
+    nodes = edges.with_parents(m.nodes())
+    return edges.query_progress(nodes, m.table("pages").select(F.col("page_id").alias("file")), "(ul (li (a) @link))", 200)
+
+
 @query
 def flatten_symbols(m: Model) -> DataFrame:
     return edges.flatten(edges.with_parents(m.nodes()))

@@ -116,6 +116,17 @@ def latest(updates: DataFrame, key: str, *values: str) -> DataFrame:
     return updates.groupBy(key).agg(F.max(F.struct("ts", "seq", *values)).alias("l")).select(key, *[F.col(f"l.{v}").alias(v) for v in values])
 
 
+#: Codes by which a server says that it is still loading.
+NOT_READY = (-32802, -32801)
+
+
+def server_ready(responses: DataFrame) -> DataFrame:
+    """server and ready by its last response (server, ts, seq, error_code): not after a code of `NOT_READY`; other errors change nothing, and a server without an answer isn't ready."""
+    told = F.col("error_code").isNull() | F.col("error_code").isin(*NOT_READY)
+    last = F.max(F.when(told, F.struct("ts", "seq", F.col("error_code").isNull().alias("ready"))))
+    return responses.groupBy("server").agg(last.alias("l")).select("server", F.coalesce("l.ready", F.lit(False)).alias("ready"))
+
+
 def versions(syncs: DataFrame) -> DataFrame:
     """seq, path, version and sent: a document's version rises when its hash differs from the one before."""
     w = Window.partitionBy("path").orderBy("ts", "seq")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text
 from sparkloom.functions.text import glob_regex, query_tokens, safe_path, tokens, with_fuzzy
 from sparkloom.operators import diagnostics, duplicates, fanout, graph, grep, layers, maintain, search, symbols
-from sparkloom.operators.edges import flatten, resolve, with_parents
+from sparkloom.operators.edges import QueryError, flatten, query_nodes, query_progress, resolve, with_parents
 
 EDGE = "edge_id long, caller_id long, callee_id long, file_path string, from_ranges string, source string"
 SYMBOL = "symbol_id long, name string, kind string, file_path string, start_line int, start_column int, end_line int, end_column int, detail string"
@@ -281,3 +281,19 @@ def test_duplicates_in_blocks_like_brute_force(spark, monkeypatch):
         got = {(r.source_id, r.match_id, r["rank"]) for r in duplicates.find_duplicates(df, file=file, min_similarity=1.5).collect()}
         assert got == want and got, file
     assert duplicates.compared(df).first()["compared"] == sum(len(r[5]) >= 100 for r in rows)
+
+
+def test_node_queries(spark):
+    rows = [("f", 0, "ul", 1, "<ul>"), ("f", 1, "li", 2, "one"), ("f", 2, "a", 3, "x"), ("f", 3, "li", 2, "two"), ("f", 4, "a", 3, "y"), ("g", 0, "ul", 1, ""), ("g", 1, "li", 2, "one")]
+    n = with_parents(spark.createDataFrame([r[:4] for r in rows], "file string, node_id int, kind string, depth int"))
+    n = n.join(spark.createDataFrame([(r[0], r[1], r[4]) for r in rows], "file string, node_id int, text string"), ["file", "node_id"])
+    ask = lambda q: sorted((r.file, r.node_id, r.capture) for r in query_nodes(n, q, None).collect())
+    assert ask("(ul (li) @a (li (a) @b))") == [("f", 1, "a"), ("f", 4, "b")]
+    assert ask('(ul (li (a) @b) @a (#eq? @a "two"))') == [("f", 3, "a"), ("f", 4, "b")]
+    assert ask('(ul (_) @a (#match? @a "^o")) @u') == [("f", 0, "u"), ("f", 1, "a"), ("g", 0, "u"), ("g", 1, "a")]
+    assert ask("(li)") == [("f", 1, ""), ("f", 3, ""), ("g", 1, "")]
+    for bad in ("", "(", "(a", "a", "(a))", "(a) (b)", '(a (#eq? @x "y"))', "@a (a)"):
+        with pytest.raises(QueryError):
+            query_nodes(n, bad)
+    files = spark.createDataFrame([("a",), ("f",), ("g",), ("h",)], "file string")
+    assert [tuple(query_progress(n, files, "(li)", k).first()) for k in (1, 2, 3, 4)] == [(2, True), (2, True), (3, True), (4, False)]
