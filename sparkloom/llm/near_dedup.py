@@ -42,8 +42,8 @@ from .common import flat, forget, take, whole_ids, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 3, 0.5, 50, 4
 DOMAIN = 1 << 20
-#: Ids up to which the list of documents to verify is broadcast (16 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Rows up to which the list of documents to verify, or of those that go, is broadcast (some 120 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 250_000
 #: Members that one task compares with one hub.
 HUB_SHARE = 4096
 #: Members of a bucket that one task compares with one another; standard deviations under the expected agreement; keys that a partition gathers before it passes them on.
@@ -212,10 +212,7 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float)
     salted = pairs.join(share, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("n")))
     want = salted.select("a", "salt", F.col("b").alias("id"), F.lit(1).alias("member")).unionByName(salted.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("member")).distinct())
     want = written(want, "want")
-    ids = want.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ids), "id", "left_semi")
-    rows = docs.join(want, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id")
+    rows = docs.join(F.broadcast(want) if want.count() <= BROADCAST_IDS else want, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = {"hub": None, "set": np.zeros(0, np.uint64), "id": None, "own": None}
