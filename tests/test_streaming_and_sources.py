@@ -3,6 +3,8 @@
 import datetime as dt
 import time
 
+from pyspark.sql import functions as F
+
 from sparkloom.functions import codec
 from sparkloom.sources import chunker, languages, tree
 from sparkloom.streaming import events
@@ -125,3 +127,27 @@ def test_accepted_events(spark):
     e = spark.createDataFrame([(1, "/ws/a.py"), (2, "/ws/.git/b.py"), (3, "/other/a.py"), (4, "/ws/build/c.py"), (5, "/ws/d.bin"), (6, "/ws/a.py")], "seq long, path string")
     got = events.accepted(e, ["py"], "/ws", tree.ignore_rules(spark, {"": "build/\n"}))
     assert sorted((r.seq, r.path) for r in got.collect()) == [(1, "a.py"), (6, "a.py")]
+
+
+def test_backoff(spark):
+    got = [r.s for r in spark.range(9).select(events.backoff(F.col("id")).alias("s")).orderBy("s").collect()]
+    assert got == [1, 2, 4, 8, 16, 32, 60, 60, 60]
+
+
+def test_index_loop_drains_every_batch(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(k, f"f{k}.py"), (k, f"g{k}.py")], "seq long, path string").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    stream = spark.readStream.schema("seq long, path string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    events.index_loop(stream, lambda df: seen.append(sorted(r.path for r in df.collect())), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(x for batch in seen for x in batch) == ["f0.py", "f1.py", "f2.py", "g0.py", "g1.py", "g2.py"] and len(seen) >= 3
+
+
+def test_debounce_stream_takes_any_path(spark, tmp_path):
+    odd = ["a\x1fb", "c\x1ed", 'e"f', "ü\\g", ""]
+    rows = [event(k, 100 * k, p, "modified") for k, p in enumerate(odd)]
+    spark.createDataFrame([*rows, event(99, 90_000, "later", "created")], "seq long, ts timestamp, path string, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("seq long, ts timestamp, path string, kind string").parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
+    q = events.debounce_stream(stream, 1000).writeStream.format("memory").queryName("odd_paths").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.path for r in spark.table("odd_paths").filter("session = 1").collect()) == sorted(odd)
