@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sparkloom.llm import quality_knn as qk
 from sparkloom.llm import textkit as tk
@@ -88,3 +89,9 @@ def test_table(spark, table, odd_rows):
     assert sum((100 + i in ids) == bool(y) for i, (_, y) in enumerate(c)) >= 192
     assert qk.drop_low_quality(df, labels.limit(0)).count() == df.count()
     assert qk.drop_low_quality(df.limit(0), labels).count() == 0
+
+
+def test_ids_must_be_whole_numbers(spark):
+    docs = spark.createDataFrame([("b2", "some words")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        qk.classify(docs, docs.selectExpr("doc_id", "1 AS quality"))

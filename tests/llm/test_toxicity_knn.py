@@ -92,3 +92,9 @@ def test_table(spark, table, odd_rows):
     assert by[100].words and by[100].examples
     assert tx.score(df.limit(0), labels).collect() == []
     assert {r.score for r in tx.score(df, labels.limit(0)).collect()} == {0.0}
+
+
+def test_ids_must_be_whole_numbers(spark):
+    docs = spark.createDataFrame([("b2", "some words")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        tx.score(docs, docs.selectExpr("doc_id", "1 AS toxic"))
