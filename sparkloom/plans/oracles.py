@@ -305,3 +305,13 @@ UNION ALL SELECT -edge_id, caller_id, callee_id, file_path, source FROM edges WH
     "re_extract_files": f"WITH {_FRESH} SELECT DISTINCT file_path, file_path IN (SELECT file_path FROM fresh) OR file_path NOT IN (SELECT e.file_path FROM edges e JOIN gone g ON (e.caller_id = g.symbol_id OR e.callee_id = g.symbol_id) AND e.file_path <> g.file_path) AS lsp_indexed FROM symbols",
     "server_ready": "WITH r AS (SELECT 's' || (user_id % 200) AS server, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN -32801 WHEN 1 THEN -32802 ELSE -32603 END END AS code FROM events) SELECT server, coalesce(arg_max(code IS NULL, (ts, seq)) FILTER (code IS NULL OR code <> -32603), false) AS ready FROM r GROUP BY server",
 }
+
+SQL["call_edge_emit"] = f"""WITH {CODE}, np AS (SELECT count(*) AS n FROM part),
+sites AS (SELECT o_orderkey AS site_id, 'src/n' || (o_custkey % 25) || '.py' AS file_path, CAST(o_custkey // 25 AS INTEGER) AS line, CASE WHEN o_orderkey % 2 = 0 THEN lower(replace(p_name, ' ', '_')) ELSE upper(replace(p_name, ' ', '_')) END AS name FROM orders, np JOIN part ON p_partkey = o_orderkey % np.n),
+cased AS (SELECT chunk_id, file_path, start_line, end_line, CASE chunk_id % 4 WHEN 0 THEN upper(leaf) WHEN 1 THEN leaf ELSE 'X.' || leaf END AS symbol_path, lower(leaf) AS k FROM (SELECT *, split_part(symbol_path, '.', -1) AS leaf FROM code)),
+places AS (SELECT file_path, start_line, min(chunk_id) AS symbol_id FROM cased GROUP BY ALL),
+caller AS (SELECT s.*, c.symbol_path AS caller_path, c.start_line AS caller_line FROM sites s JOIN cased c ON s.file_path = c.file_path AND s.line BETWEEN c.start_line AND c.end_line QUALIFY row_number() OVER (PARTITION BY s.site_id ORDER BY c.end_line - c.start_line, c.chunk_id) = 1),
+hit AS (SELECT k.*, c.file_path AS callee_file, c.start_line AS callee_line FROM caller k JOIN cased c ON c.k = lower(k.name) AND (contains(c.symbol_path, '.') OR c.symbol_path = k.name) AND (c.file_path <> k.file_path OR c.symbol_path <> k.caller_path)
+  QUALIFY row_number() OVER (PARTITION BY k.site_id ORDER BY CASE WHEN c.file_path = k.file_path THEN 0 ELSE 1 END, c.file_path, c.start_line, c.symbol_path) = 1)
+SELECT h.site_id AS edge_id, a.symbol_id AS caller_id, b.symbol_id AS callee_id, h.file_path AS caller_file, h.callee_file, h.file_path, '[[' || h.line || ',0,' || h.line || ',0]]' AS from_ranges, 'treesitter' AS source
+FROM hit h JOIN places a ON a.file_path = h.file_path AND a.start_line = h.caller_line JOIN places b ON b.file_path = h.callee_file AND b.start_line = h.callee_line"""

@@ -659,13 +659,26 @@ def doc_version_sync(m: Model) -> DataFrame:
     return events.versions(e.select(F.col("event_id").alias("seq"), "ts", F.concat(F.lit("u"), "user_id").alias("path"), F.floor(F.col("value") / 10).alias("hash")))
 
 
-@query
-def call_edge_resolution(m: Model) -> DataFrame:
+def _sites(m: Model) -> DataFrame:
     n = m.table("part").agg(F.count("*").alias("n"))
     o = m.table("orders").crossJoin(F.broadcast(n)).withColumn("p_partkey", F.col("o_orderkey") % F.col("n"))
     name = F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))
-    sites = o.join(m.table("part"), "p_partkey").select(F.col("o_orderkey").alias("site_id"), F.concat(F.lit("src/n"), F.col("o_custkey") % 25, F.lit(".py")).alias("file_path"), F.floor(F.col("o_custkey") / 25).cast("int").alias("line"), name.alias("name"))
-    return edges.resolve(sites, m.code_chunks())
+    return o.join(m.table("part"), "p_partkey").select(F.col("o_orderkey").alias("site_id"), F.concat(F.lit("src/n"), F.col("o_custkey") % 25, F.lit(".py")).alias("file_path"), F.floor(F.col("o_custkey") / 25).cast("int").alias("line"), name.alias("name"))
+
+
+@query
+def call_edge_resolution(m: Model) -> DataFrame:
+    return edges.resolve(_sites(m), m.code_chunks())
+
+
+@query
+def call_edge_emit(m: Model) -> DataFrame:
+    """Names in several cases, with and without a dot, to edges between symbols."""
+    leaf, kind = F.substring_index("symbol_path", ".", -1), F.col("chunk_id") % 4
+    chunks = m.code_chunks().withColumn("symbol_path", F.when(kind == 0, F.upper(leaf)).when(kind == 1, leaf).otherwise(F.concat(F.lit("X."), leaf)))
+    places = chunks.groupBy("file_path", "start_line").agg(F.min("chunk_id").alias("symbol_id"))
+    sites = _sites(m).withColumn("name", F.when(F.col("site_id") % 2 == 0, F.lower("name")).otherwise(F.col("name")))
+    return edges.emit(sites, chunks, places)
 
 
 @query
