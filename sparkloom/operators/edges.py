@@ -39,9 +39,9 @@ def located(sites: DataFrame, chunks: DataFrame) -> DataFrame:
     group = ["key", "dotted", F.when(~F.col("dotted"), F.col("symbol_path"))]
     near = named.withColumn("n", F.row_number().over(Window.partitionBy(*group, "file_path").orderBy(*order))).filter("n <= 2")
     far = named.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("file_path", *order))).filter("n <= 2")
-    # the site goes along as the position's id, so it isn't joined again
-    at = sites.select(F.struct("site_id", "file_path", "name", "line").alias("query_id"), "file_path", "line")
-    caller = enclosing(at, c, "chunk_id").select("query_id.*", F.lower("query_id.name").alias("key"), F.col("symbol_path").alias("caller_path"), F.col("start_line").alias("caller_line"))
+    at = sites.select(F.col("site_id").alias("query_id"), "file_path", "line", "name")
+    caller = enclosing(at, c, "chunk_id", ("file_path", "name", "line"))
+    caller = caller.select(F.col("query_id").alias("site_id"), F.col("at_file_path").alias("file_path"), F.col("at_name").alias("name"), F.col("at_line").alias("line"), F.lower("at_name").alias("key"), F.col("symbol_path").alias("caller_path"), F.col("start_line").alias("caller_line"))
     fits = F.col("dotted") | (F.col("symbol_path") == F.col("name"))
     other = (F.col("callee_file") != F.col("file_path")) | (F.col("callee_path") != F.col("caller_path"))
     pick = lambda df: df.select("key", "dotted", F.col("file_path").alias("callee_file"), F.col("symbol_path").alias("callee_path"), F.col("start_line").alias("callee_line"))

@@ -12,15 +12,15 @@ LAYERS = ("liveLSP", "lspIndex", "treeSitter")
 STRIPE = 32
 
 
-def enclosing(positions: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """For each position (query_id, file_path, line) its narrowest span: query_id and the span's columns.
+def enclosing(positions: DataFrame, spans: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each position (query_id, file_path, line) its narrowest span: query_id, the span's columns, and the position's columns of `keep` as at_....
 
     The join is by file and stripe of lines, so a long file isn't compared
     with all of its spans; the narrowest is kept by a window over the query.
     """
     p = positions.withColumn("_s", F.floor(F.col("line") / STRIPE)).alias("p")
     s = spans.withColumn("_s", F.explode(F.sequence(F.floor(F.col("start_line") / STRIPE), F.floor(F.col("end_line") / STRIPE)))).alias("s")
-    hit = p.join(s, (F.col("p.file_path") == F.col("s.file_path")) & (F.col("p._s") == F.col("s._s")) & (F.col("s.start_line") <= F.col("p.line")) & (F.col("s.end_line") >= F.col("p.line"))).select("p.query_id", *[F.col(f"s.{c}") for c in spans.columns])
+    hit = p.join(s, (F.col("p.file_path") == F.col("s.file_path")) & (F.col("p._s") == F.col("s._s")) & (F.col("s.start_line") <= F.col("p.line")) & (F.col("s.end_line") >= F.col("p.line"))).select("p.query_id", *[F.col(f"p.{c}").alias(f"at_{c}") for c in keep], *[F.col(f"s.{c}") for c in spans.columns])
     w = Window.partitionBy("query_id").orderBy(F.col("end_line") - F.col("start_line"), key)
     return hit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
