@@ -67,6 +67,27 @@ def hover(positions: DataFrame, live: DataFrame, symbols: DataFrame, chunks: Dat
     return cascade(positions, live.select("query_id", "contents"), s, c)
 
 
+def code_actions(requests: DataFrame, live: DataFrame, resolved: DataFrame) -> DataFrame:
+    """query_id, n, title, edit and layer: the live actions (query_id, n, title, edit) of each request, as they were resolved (the same columns) or, where that failed, as they came; `none` without any."""
+    r = resolved.select("query_id", "n", F.col("title").alias("_title"), F.col("edit").alias("_edit"), F.lit(True).alias("_has"))
+    both = live.join(r, ["query_id", "n"], "left").select("query_id", "n", F.when(F.col("_has"), F.col("_title")).otherwise(F.col("title")).alias("title"), F.when(F.col("_has"), F.col("_edit")).otherwise(F.col("edit")).alias("edit"))
+    return requests.select("query_id").join(both, "query_id", "left").withColumn("layer", F.when(F.col("n").isNotNull(), LAYERS[0]).otherwise("none"))
+
+
+def rename_edits(requests: DataFrame, prepared: DataFrame, edits: DataFrame) -> DataFrame:
+    """query_id, can_rename, placeholder and edit: a rename counts only where the server prepared it (query_id, placeholder) and gave an edit (query_id, edit)."""
+    p = prepared.select("query_id", "placeholder", F.lit(True).alias("_p"))
+    both = requests.select("query_id").join(p, "query_id", "left").join(edits.select("query_id", "edit"), "query_id", "left")
+    can = F.coalesce(F.col("_p") & F.col("edit").isNotNull(), F.lit(False))
+    return both.select("query_id", can.alias("can_rename"), F.when(can, F.col("placeholder")).alias("placeholder"), F.when(can, F.col("edit")).alias("edit"))
+
+
+def incoming(positions: DataFrame, live: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """The callers (query_id, name, file_path, n_sites, layer) of what lies at each position: live ones, else those of the index."""
+    columns = ("query_id", "name", "file_path", "n_sites")
+    return cascade(positions, live.select(*columns), inbound_calls(positions, symbols, edges).select(*columns))
+
+
 def call_sites(ranges):
     """The 4-number ranges of a JSON text; anything else is dropped, invalid JSON is empty."""
     return F.coalesce(F.filter(F.from_json(ranges, "array<array<int>>"), lambda q: F.size(q) == 4), F.array())

@@ -315,3 +315,13 @@ hit AS (SELECT k.*, c.file_path AS callee_file, c.start_line AS callee_line FROM
   QUALIFY row_number() OVER (PARTITION BY k.site_id ORDER BY CASE WHEN c.file_path = k.file_path THEN 0 ELSE 1 END, c.file_path, c.start_line, c.symbol_path) = 1)
 SELECT h.site_id AS edge_id, a.symbol_id AS caller_id, b.symbol_id AS callee_id, h.file_path AS caller_file, h.callee_file, h.file_path, '[[' || h.line || ',0,' || h.line || ',0]]' AS from_ranges, 'treesitter' AS source
 FROM hit h JOIN places a ON a.file_path = h.file_path AND a.start_line = h.caller_line JOIN places b ON b.file_path = h.callee_file AND b.start_line = h.callee_line"""
+SQL |= {
+    "incoming_calls": f"""WITH {ENCLOSED}, {EDGES},
+ix AS (SELECT es.query_id, e.caller_id, count(*) AS n_sites FROM es JOIN edges e ON e.callee_id = es.symbol_id GROUP BY ALL),
+idx AS (SELECT ix.query_id, s.name, s.file_path, ix.n_sites FROM ix JOIN symbols s ON s.symbol_id = ix.caller_id)
+SELECT p.query_id, CASE WHEN l.query_id IS NOT NULL THEN l.contents ELSE idx.name END AS name, CASE WHEN l.query_id IS NOT NULL THEN l.file_path ELSE idx.file_path END AS file_path, CASE WHEN l.query_id IS NOT NULL THEN 1 ELSE idx.n_sites END AS n_sites,
+  CASE WHEN l.query_id IS NOT NULL THEN 'liveLSP' WHEN idx.query_id IS NOT NULL THEN 'lspIndex' ELSE 'none' END AS layer
+FROM positions p LEFT JOIN live l ON l.query_id = p.query_id LEFT JOIN idx ON idx.query_id = p.query_id AND l.query_id IS NULL""",
+    "code_actions": "SELECT o_orderkey AS query_id, n, 'fix ' || n AS title, CASE WHEN n = 0 AND o_orderkey % 2 = 0 THEN 'e' || o_orderkey END AS edit, 'liveLSP' AS layer FROM orders, (VALUES (0), (1)) v(n) WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 'none' FROM orders WHERE o_orderstatus <> 'P'",
+    "rename_edits": "SELECT o_orderkey AS query_id, ok AS can_rename, CASE WHEN ok THEN 'p' || (o_orderkey % 60) END AS placeholder, CASE WHEN ok THEN 'e' || o_orderkey END AS edit FROM (SELECT o_orderkey, o_orderstatus <> 'F' AND o_orderkey % 3 <> 0 AS ok FROM orders)",
+}

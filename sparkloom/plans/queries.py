@@ -288,6 +288,27 @@ def inbound_calls(m: Model) -> DataFrame:
     return layers.inbound_calls(_positions(m), m.symbols(), m.edges())
 
 
+@query
+def incoming_calls(m: Model) -> DataFrame:
+    live = _live(m).select("query_id", F.col("contents").alias("name"), "file_path", F.lit(1).cast("long").alias("n_sites"))
+    return layers.incoming(_positions(m), live, m.symbols(), m.edges()).withColumn("n_sites", F.col("n_sites").cast("long"))
+
+
+@query
+def code_actions(m: Model) -> DataFrame:
+    p = _positions(m)
+    live = p.filter("o_orderstatus = 'P'").select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).withColumn("title", F.concat(F.lit("fix "), "n")).withColumn("edit", F.lit(None).cast("string"))
+    resolved = live.filter("n = 0 AND query_id % 2 = 0").withColumn("edit", F.concat(F.lit("e"), "query_id"))
+    return layers.code_actions(p, live, resolved)
+
+
+@query
+def rename_edits(m: Model) -> DataFrame:
+    p = _positions(m)
+    prepared = p.filter("o_orderstatus <> 'F'").select("query_id", F.concat(F.lit("p"), "line").alias("placeholder"))
+    return layers.rename_edits(p, prepared, p.filter("query_id % 3 <> 0").select("query_id", F.concat(F.lit("e"), "query_id").alias("edit")))
+
+
 @query
 def references_index(m: Model) -> DataFrame:
     return layers.references_index(_positions(m), m.symbols(), m.edges())
