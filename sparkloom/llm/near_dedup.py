@@ -108,17 +108,23 @@ def _rows(kind: int, n: int, **have) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(n, kind, np.int8)) if x.name == "kind" else have[x.name] if isinstance(have.get(x.name), pa.Array) else pa.array(have[x.name], x.type) if x.name in have else pa.nulls(n, x.type) for x in _SCHEMA], schema=_SCHEMA)
 
 
+def _slices(b: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces that the JVM takes one by one."""
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def _buckets(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each key once, with the least and greatest of its ids, and its other ids with the least."""
     by = np.lexsort((ids, keys))
     keys, ids = keys[by], ids[by]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     last = np.r_[first[1:], len(keys)] - 1
-    yield _rows(KEY, len(first), key=keys[first], id=ids[first], other=ids[last])
+    yield from _slices(_rows(KEY, len(first), key=keys[first], id=ids[first], other=ids[last]))
     hub = np.repeat(ids[first], last - first + 1)
     more = np.flatnonzero((ids != hub) & np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
     if len(more):
-        yield _rows(MEMBER, len(more), key=keys[more], id=ids[more], other=hub[more])
+        yield from _slices(_rows(MEMBER, len(more), key=keys[more], id=ids[more], other=hub[more]))
 
 
 def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -320,11 +326,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     far = copies.join(ends.select(F.col("id").alias("root"), F.col("root").alias("end")), "root", "left").select("id", F.coalesce("end", "root").alias("root"))
     alone = copies.select(F.col("root").alias("id"), "root").distinct().join(ends, "id", "left_anti")
     nodes = written(ends.unionByName(far).unionByName(alone).distinct(), "nodes")
+    forget(all_, classes, root)
     # the first of a partition's copies isn't always their least, and an id may have several texts
     ids = nodes.groupBy("id").agg(F.min("root").alias("root"), F.max("root").alias("more"))
     if not ids.filter("root <> more").isEmpty():
         again = components(ids.filter("root <> more").join(nodes.select("id", F.col("root").alias("b")), "id").select(F.col("root").alias("a"), "b"))
-        nodes = written(_named(nodes, again, "root").distinct(), "nodes")
+        nodes, before = written(_named(nodes, again, "root").distinct(), "nodes"), nodes
+        forget(before)
     least = nodes.groupBy("root").agg(F.min("id").alias("group_id"))
     return nodes.join(least, "root").select(F.col("id").alias("doc_id"), "group_id", (F.col("id") == F.col("group_id")).alias("kept"))
 

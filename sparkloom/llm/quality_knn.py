@@ -46,6 +46,8 @@ for _i, _c in enumerate(_PUNCT):
 _CLASS[128:] = 6 + len(_PUNCT)
 _N = 7 + len(_PUNCT)
 _LENGTHS = 24
+#: Bytes of text counted at once: the counts take some 8 KB a text.
+STEP = 1 << 19
 #: Class pairs, word lengths, repeated words; known words follow.
 TERMS = _N * _N + _LENGTHS + 1
 
@@ -108,7 +110,7 @@ class Model:
         if not len(texts):
             return None
         words = widespread(texts, most)
-        c = np.concatenate([counts(s, words) for _, s in tk.steps(texts)])
+        c = np.concatenate([counts(s, words) for _, s in tk.steps(texts, STEP)])
         some = c.any(axis=1)
         c, labels = np.sqrt(c[some]), labels[some]
         if not len(c):
@@ -128,7 +130,7 @@ class Model:
         size = np.linalg.norm(v, axis=1, keepdims=True)
         return v / np.maximum(size, 1e-12), c.any(axis=1) & (size[:, 0] > 1e-12)
 
-    def score(self, texts: pa.Array, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, texts: pa.Array, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(share of the votes that is for quality, whether the text has a vector)."""
         v, ok = self.vectors_of(texts)
         out, k = np.zeros(len(v)), min(self.k, len(self.vectors))
@@ -155,7 +157,7 @@ def scorer(spark: SparkSession, model: Model | None, text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for texts in batches:
-            parts = [m.score(s) if m else (np.zeros(len(s)), np.zeros(len(s), bool)) for _, s in tk.steps(texts)]
+            parts = [m.score(s) if m else (np.zeros(len(s)), np.zeros(len(s), bool)) for _, s in tk.steps(texts, STEP)]
             score, ok = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (0, 1))
             yield pc.if_else(pa.array(np.asarray(ok, bool)), pa.array(np.asarray(score, np.float64)), pa.scalar(None, pa.float64()))
 
