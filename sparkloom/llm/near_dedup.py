@@ -10,8 +10,8 @@ similarity; verified pairs are closed transitively into groups.
 
 No key gathers its rows in one task.  One pass over the texts finds, inside each
 partition, the copies of one shingle multiset (128-bit fingerprints) and the buckets
-of equal band keys, and passes each text and each key on once; so a key has at most as
-many rows as there are partitions.  A bucket of m documents doesn't cost m²
+of equal band keys, and passes each text on once, and each key once for every
+`KEYS_AT_ONCE` keys; so a hot key has a row for some 10,000 documents.  A bucket of m documents doesn't cost m²
 verifications: each member is first compared with its least id in the partition, and
 these with the least of all.  Only in buckets whose members end in different groups are
 the others compared, by the low bytes of their signatures, in blocks of `SIDE` members
@@ -46,8 +46,8 @@ DOMAIN = 1 << 20
 BROADCAST_IDS = 250_000
 #: Members that one task compares with one hub.
 HUB_SHARE = 4096
-#: Members of a bucket that one task compares with one another; standard deviations under the expected agreement; keys that a partition gathers before it passes them on.
-SIDE, SIGMAS, KEYS_AT_ONCE = 1024, 7.0, 2_000_000
+#: Members of a bucket that one task compares with one another; standard deviations under the expected agreement; keys that a partition gathers before it passes them on (some 100 bytes each); rows of a batch.
+SIDE, SIGMAS, KEYS_AT_ONCE, PIECE = 1024, 7.0, 500_000, 1 << 15
 COPY, TEXT, KEY, MEMBER = range(4)
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -108,23 +108,20 @@ def _rows(kind: int, n: int, **have) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(n, kind, np.int8)) if x.name == "kind" else have[x.name] if isinstance(have.get(x.name), pa.Array) else pa.array(have[x.name], x.type) if x.name in have else pa.nulls(n, x.type) for x in _SCHEMA], schema=_SCHEMA)
 
 
-def _slices(b: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces that the JVM takes one by one."""
-    for at in range(0, b.num_rows, rows):
-        yield b.slice(at, rows)
-
-
 def _buckets(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each key once, with the least and greatest of its ids, and its other ids with the least."""
     by = np.lexsort((ids, keys))
     keys, ids = keys[by], ids[by]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     last = np.r_[first[1:], len(keys)] - 1
-    yield from _slices(_rows(KEY, len(first), key=keys[first], id=ids[first], other=ids[last]))
+    for at in range(0, len(first), PIECE):
+        a, b = first[at : at + PIECE], last[at : at + PIECE]
+        yield _rows(KEY, len(a), key=keys[a], id=ids[a], other=ids[b])
     hub = np.repeat(ids[first], last - first + 1)
     more = np.flatnonzero((ids != hub) & np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
-    if len(more):
-        yield from _slices(_rows(MEMBER, len(more), key=keys[more], id=ids[more], other=hub[more]))
+    for at in range(0, len(more), PIECE):
+        m = more[at : at + PIECE]
+        yield _rows(MEMBER, len(m), key=keys[m], id=ids[m], other=hub[m])
 
 
 def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -162,6 +159,7 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                     keys, owners, waiting = [], [], 0
         if waiting:
             yield from _buckets(np.concatenate(keys), np.concatenate(owners))
+        tk.release()
 
     return docs.mapInArrow(run, "kind byte, key long, id long, other long, f long, g long, sig binary")
 

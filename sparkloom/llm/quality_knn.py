@@ -160,6 +160,7 @@ def scorer(spark: SparkSession, model: Model | None, text: Column) -> Column:
             parts = [m.score(s) if m else (np.zeros(len(s)), np.zeros(len(s), bool)) for _, s in tk.steps(texts, STEP)]
             score, ok = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (0, 1))
             yield pc.if_else(pa.array(np.asarray(ok, bool)), pa.array(np.asarray(score, np.float64)), pa.scalar(None, pa.float64()))
+        tk.release()
 
     return run(text)
 

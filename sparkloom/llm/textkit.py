@@ -8,6 +8,7 @@ and no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,15 @@ _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full((1 << 16) -
 WORD_PATTERN = r"[0-9a-z\u0080-\U0010ffff]+"
 
 
+def release() -> None:
+    """Gives freed memory back to the system at the end of a partition, as workers go on to other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64, elementwise."""
     h = h ^ (h >> np.uint64(30))
