@@ -1,27 +1,29 @@
 """Operator 6: language identification of words by a linear-chain conditional random field.
 
-Every word of a text gets a label by forward-backward over the whole text, so
-code-switched text shows where it switches.  A word's features are its prefixes
-and suffixes of 1 to 4 bytes, the byte trigrams inside it and, where it is one of the
-`LEXICON` most frequent words of the training sample, the word itself; each
+Every word of a text gets a label by forward-backward over the whole text.  `identify`
+returns them all as `spans`: runs of words of one label, in the order of the text, each with
+its first character and the one after its last, so code-switched text shows where it
+switches.  A word's features are its prefixes and suffixes of 1 to 4 bytes, the byte
+trigrams inside it and, where the training sample holds it, the word itself; each
 feature has a weight for each label, each pair of labels a learned transition
-weight.  Training takes `PER_LABEL` documents of each value of `lang` and
-splices spans of them into code-switched sequences whose labels are known; the
-likelihood's gradient comes from the same forward-backward.
+weight.  Training takes a sample, `PER_LABEL` documents of each value of `lang`, and
+splices spans of them into `SEQUENCES` code-switched sequences of `LENGTH` words whose
+labels are known; the likelihood's gradient comes from the same forward-backward.  What is
+labelled is every word of every row.
 
 Forward-backward runs in lockstep over blocks of `BLOCK` words of all texts of a
 step: first the product of each block's transfer matrices, then the blocks of a
 text one after the other, then the words inside all blocks.  This is exact and
 its cost doesn't depend on how long the texts are.
 
-Nulls: a null or empty text, or one without a word, has no language: label null, kept
-false.  Text that mixes languages is kept: what is rejected is text whose words
+Nulls: a null or empty text, or one without a word, has no language: label null, no spans,
+kept false.  Text that mixes languages is kept: what is rejected is text whose words
 fit no language.  A null `lang` takes no part in training; a null id is kept as it is.
-Without training documents every label is null and every row is kept.  Ties go to the
-first label in alphabetical order.  Texts are labelled whole, however long.  Repeated rows
-are labelled once for each row, and train as one.  An empty table gives an empty result;
-further columns, whatever their names, are left out by `identify` and kept as they are
-by `drop_unidentified`.
+Without training documents every label is null, there are no spans, words are only counted
+and every row is kept.  Ties go to the first label in alphabetical order.  Texts are labelled
+whole, however long.  Repeated rows are labelled once for each row, and train as one.  An
+empty table gives an empty result; further columns, whatever their names, are left out by
+`identify` and kept as they are by `drop_unidentified`.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import flat, take
 
-PER_LABEL, SEQUENCES, LENGTH, EPOCHS, LEXICON = 250, 3000, 48, 6, 4000
+PER_LABEL, SEQUENCES, LENGTH, EPOCHS = 250, 3000, 48, 6
 SPACE = 1 << 16
 #: Bytes of text labelled at once: their words take some 100 times as much memory.
 STEP = 1 << 20
@@ -212,9 +214,7 @@ class Model:
         labels = sorted(set(langs))
         if not len(w.h):
             return None
-        words, number = np.unique(w.h, return_counts=True)
-        lexicon = np.sort(words[np.argsort(-number, kind="stable")[:LEXICON]])
-        m = cls(labels, lexicon)
+        m = cls(labels, np.unique(w.h))
         codes, tri, n = _codes(w)
         lex = m.words_in_lexicon(w.h)
         size = w.counts()
@@ -244,7 +244,22 @@ class Model:
         m.train((lex[flat_index], codes[flat_index], tri[tri_at], None, tn), y, epochs)
         return m
 
-    def label(self, texts: pa.Array) -> dict[str, np.ndarray]:
+    def spans(self, w: tk.Words, g: np.ndarray) -> pa.Array:
+        """For each text the runs of words whose likeliest label is the same; together they hold every word."""
+        tag = g.argmax(axis=1)
+        new = np.ones(len(tag), bool)
+        new[1:] = (tag[1:] != tag[:-1]) | (w.doc[1:] != w.doc[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(tag)])
+        # lower case keeps the number of characters, not that of bytes
+        chars = np.r_[0, np.cumsum((w.data & 0xC0) != 0x80)]
+        zero = chars[w.offsets[w.doc[first]]]
+        sure = np.add.reduceat(g.max(axis=1), first) / size if len(first) else np.zeros(0)
+        cols = [chars[w.start[first]] - zero, chars[w.end[first + size - 1]] - zero, tag[first], size, sure]
+        items = pa.StructArray.from_arrays([pa.array(cols[0].astype(np.int32)), pa.array(cols[1].astype(np.int32)), pa.array(self.labels, pa.string()).take(pa.array(cols[2])), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], ["start", "end", "label", "n_words", "certainty"])
+        return pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.bincount(w.doc[first], minlength=w.n_docs))].astype(np.int32), items)
+
+    def label(self, texts: pa.Array, spans: bool = False) -> dict[str, np.ndarray | pa.Array]:
         """Columns of the result, for each text."""
         w = tk.Words.of(texts)
         g = self.posteriors(self.emissions(w), w.doc)
@@ -255,7 +270,8 @@ class Model:
         best = share.argmax(axis=1)
         order = np.sort(share, axis=1)
         sure = np.bincount(w.doc, g.max(axis=1), minlength=w.n_docs) / np.maximum(n, 1)
-        return {"label": best, "share": order[:, -1], "certainty": sure, "second": order[:, -2] if L > 1 else np.zeros(len(n)), "n_words": n, "n_switches": np.bincount(w.doc[1:][switch], minlength=w.n_docs)}
+        r = {"label": best, "share": order[:, -1], "certainty": sure, "second": order[:, -2] if L > 1 else np.zeros(len(n)), "n_words": n, "n_switches": np.bincount(w.doc[1:][switch], minlength=w.n_docs)}
+        return r | ({"spans": self.spans(w, g)} if spans else {})
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL, **how) -> Model | None:
@@ -269,38 +285,45 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_
     return Model.fit(pdf["text"].tolist(), pdf["lang"].astype(str).tolist(), **how)
 
 
-_RESULT = "struct<label:string,share:double,certainty:double,second:double,n_words:long,n_switches:long>"
+_RESULT = "label:string,share:double,certainty:double,second:double,n_words:long,n_switches:long"
+_SPANS = "array<struct<start:int,end:int,label:string,n_words:int,certainty:double>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("n_words", pa.int32()), ("certainty", pa.float64())]))
 
 
-def labeller(spark: SparkSession, model: Model | None, text: Column) -> Column:
+def labeller(spark: SparkSession, model: Model | None, text: Column, spans: bool = False) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf(_RESULT)
+    @F.arrow_udf(f"struct<{_RESULT}{',spans:' + _SPANS if spans else ''}>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for texts in batches:
-            cols = {k: [] for k in ("label", "share", "certainty", "second", "n_words", "n_switches")}
+            cols, runs = {k: [] for k in ("label", "share", "certainty", "second", "n_words", "n_switches")}, []
             for _, s in tk.steps(texts, STEP):
-                r = m.label(s) if m else {k: np.zeros(len(s), np.int64) for k in cols}
+                r = m.label(s, spans) if m else {k: np.zeros(len(s), np.int64) for k in cols} | {"n_words": tk.Words.of(s).counts()}
                 for k in cols:
                     cols[k].append(r[k])
+                if spans:
+                    runs.append(r["spans"] if m else pa.array([[]] * len(s), _SPAN))
             got = {k: np.concatenate(v) if v else np.zeros(0) for k, v in cols.items()}
-            none = got["n_words"] == 0
+            none = (got["n_words"] == 0) | (m is None)
             names = pa.array(m.labels if m else [""], pa.string())
             label = names.take(pa.array(np.where(none, -1, got["label"]).astype(np.int64), mask=none))
-            yield pa.StructArray.from_arrays([label, pa.array(got["share"].astype(float), mask=none), pa.array(got["certainty"].astype(float), mask=none), pa.array(got["second"].astype(float), mask=none), pa.array(got["n_words"].astype(np.int64)), pa.array(got["n_switches"].astype(np.int64))], ["label", "share", "certainty", "second", "n_words", "n_switches"])
+            arrays = [label, pa.array(got["share"].astype(float), mask=none), pa.array(got["certainty"].astype(float), mask=none), pa.array(got["second"].astype(float), mask=none), pa.array(got["n_words"].astype(np.int64)), pa.array(got["n_switches"].astype(np.int64))]
+            if spans:
+                arrays.append(pa.concat_arrays(runs) if runs else pa.array([], _SPAN))
+            yield pa.StructArray.from_arrays(arrays, [*cols, *["spans"] * spans])
         tk.release()
 
     return run(text)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST, mixed: float = MIXED, **how) -> DataFrame:
-    """For every row: doc_id, label, its share of the words, the mean certainty of the words' labels, n_words, n_switches, whether a second language has a share of at least `mixed`, and kept."""
+    """For every row: doc_id, label, its share of the words, the mean certainty of the words' labels, n_words, n_switches, the spans of the words' labels (start and end in characters, label, n_words, mean certainty), whether a second language has a share of at least `mixed`, and kept."""
     model = fit(docs, text_col=text_col, lang_col=lang_col, **how)
     d = take(docs, id_col, text_col).toDF("doc_id", "text")
-    r = d.select("doc_id", labeller(docs.sparkSession, model, F.col("text")).alias("r"))
+    r = d.select("doc_id", labeller(docs.sparkSession, model, F.col("text"), spans=True).alias("r"))
     kept = F.coalesce(F.col("r.certainty") >= least, F.lit(False)) if model else F.lit(True)
-    return r.select("doc_id", "r.label", "r.share", "r.certainty", "r.n_words", "r.n_switches", F.coalesce(F.col("r.second") >= mixed, F.lit(False)).alias("code_switched"), kept.alias("kept"))
+    return r.select("doc_id", "r.label", "r.share", "r.certainty", "r.n_words", "r.n_switches", "r.spans", F.coalesce(F.col("r.second") >= mixed, F.lit(False)).alias("code_switched"), kept.alias("kept"))
 
 
 def drop_unidentified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: float = LEAST, **how) -> DataFrame:
@@ -314,5 +337,5 @@ def drop_unidentified(docs: DataFrame, *, text_col: str = "text", lang_col: str
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that have a language, with it."""
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("kept").drop("kept")
+    """Every document with its language and those of its words; `kept` says whether they fit one."""
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
