@@ -669,8 +669,8 @@ def watcher_debounce(m: Model) -> DataFrame:
 
 @query
 def settle_outcome(m: Model) -> DataFrame:
-    start = F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    u = m.table("events").select(F.col("user_id").alias("request"), F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - start) / 1000).alias("at_ms"))
+    e = m.table("events").withColumn("since", events.millis(m.table("events"), "ts") - 1_704_067_200_000)  # since the start of 2024
+    u = e.select(F.col("user_id").alias("request"), F.expr("since div 1000").alias("at_ms"))
     return events.settle(u, 60_000, 2_000_000)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,11 +15,13 @@ from ..sources.tree import ancestors, visible
 BUCKET_GAPS = 1000
 
 
-def _millis(df: DataFrame, name: str) -> Column:
-    """Milliseconds of a time with or without a zone."""
+def millis(df: DataFrame, name: str) -> Column:
+    """Milliseconds of a time with or without a zone, to the nearest; halves go away from 1970."""
     if dict(df.dtypes)[name] == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {name})")
-    return F.unix_millis(name)
+        micros = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {name})"
+    else:
+        micros = f"unix_micros({name})"
+    return F.expr(f"({micros} + CASE WHEN {micros} < 0 THEN -500 ELSE 500 END) div 1000")
 
 
 def sessions(events: DataFrame, gap_ms: int) -> DataFrame:
@@ -28,7 +31,7 @@ def sessions(events: DataFrame, gap_ms: int) -> DataFrame:
     those between buckets, and the numbers of earlier sessions, come from one
     row a bucket: a thousandth of the time range in gaps.  No task sees all events.
     """
-    e = events.withColumn("_t", _millis(events, "ts")).withColumn("_b", F.floor(F.col("_t") / (gap_ms * BUCKET_GAPS)))
+    e = events.withColumn("_t", millis(events, "ts")).withColumn("_b", F.floor(F.col("_t") / (gap_ms * BUCKET_GAPS)))
     w = Window.partitionBy("_b").orderBy("_t", "seq")
     edge = Window.orderBy("_b")
     ends = e.groupBy("_b").agg(F.max("_t").alias("_last")).withColumn("_before", F.lag("_last").over(edge)).select("_b", "_before")
@@ -80,7 +83,8 @@ def debounce_stream(events: DataFrame, gap_ms: int) -> DataFrame:
             close()
         else:
             rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-            for t, s, p, k in zip(rows["ts"].astype("datetime64[ms]").astype("int64"), rows["seq"], rows["path"], rows["kind"]):
+            micros = rows["ts"].astype("datetime64[us]").astype("int64")
+            for t, s, p, k in zip(np.sign(micros) * ((micros.abs() + 500) // 1000), rows["seq"], rows["path"], rows["kind"]):
                 if open_ and t - last >= gap_ms:
                     close()
                 last = max(last, int(t))

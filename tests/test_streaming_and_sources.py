@@ -3,8 +3,11 @@
 import datetime as dt
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sparkloom.functions import codec
 from sparkloom.sources import chunker, languages, tree
 from sparkloom.streaming import events
@@ -53,6 +56,18 @@ def test_settle(spark):
     assert got == {"quiet": ("settled", 300), "one": ("settled", 500), "busy": ("pending", 5000)}
 
 
+@pytest.mark.parametrize("name", ["settle_outcome", "watcher_debounce"])
+def test_times_count_in_whole_milliseconds_to_the_nearest(spark, tmp_path, name):
+    stamps = ["'2024-01-01 00:00:02.999499'", "'2024-01-01 00:00:02.9995'", "'2024-01-01 00:10:02.999499'", "'2024-01-01 00:20:02.9994'", "'2024-01-01 00:30:02.9988'", "'2023-12-31 23:59:58.2'"]
+    con = duckdb.connect()
+    rows = ", ".join(f"({k}::BIGINT, {s}::TIMESTAMP, {k}::BIGINT, 'view', 1.0::DOUBLE, '')" for k, s in enumerate(stamps))
+    con.execute(f"copy (select * from (values {rows}) t(event_id, ts, user_id, event_type, value, props)) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(want.fetchall())
+
+
 def test_versions(spark):
     rows = [(k, dt.datetime(2024, 1, 1, 0, 0, k), "a", h) for k, h in enumerate("xxyyx")]
     got = events.versions(spark.createDataFrame(rows, "seq long, ts timestamp, path string, hash string")).orderBy("seq").collect()
