@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,54 @@ def test_node_queries(spark):
             query_nodes(n, bad)
     files = spark.createDataFrame([("a",), ("f",), ("g",), ("h",)], "file string")
     assert [tuple(query_progress(n, files, "(li)", k).first()) for k in (1, 2, 3, 4)] == [(2, True), (2, True), (3, True), (4, False)]
+
+
+def ran(df, metric, *names):
+    """The metric of each node of the plan that `df.collect()` has run whose name begins with one of `names`."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+            if kind.startswith(names) and node.metrics().contains(metric):
+                out.append(node.metrics().apply(metric).value())
+    return out
+
+
+def test_duplicates_leave_only_the_best_of_a_block(spark):
+    n = 400
+    rows = [(k, f"f{k}", f"s{k}", "function", [1.0, k % 4 * 0.01]) for k in range(n)]
+    df = spark.createDataFrame(rows, "chunk_id long, file_path string, symbol_path string, kind string, embedding array<double>")
+    found = duplicates.find_duplicates(df, min_similarity=0.5, text_col=None)
+    assert ran(found, "pythonNumRowsReceived", "MapInArrow")[0] == n * 5
+    got = {(r.source_id, r.rank): r.match_id for r in found.collect()}
+    for source in range(n):
+        v = rows[source][4]
+        best = sorted((k for k in range(n) if k != source), key=lambda k: (-round(v[0] * rows[k][4][0] + v[1] * rows[k][4][1], 9), k))
+        assert [got[source, k] for k in range(1, 6)] == best[:5]
+
+
+def test_duplicates_round_as_spark_does(spark):
+    like = [0.1234567885, 0.1234567895, 0.5, 1.0000000005, 0.2999999995, -0.1234567885, 12345678.1234567895, 0.30000000049999999, 3e15]
+    want = [r.x for r in spark.createDataFrame([(x,) for x in like], "x double").select(F.round("x", 9).alias("x")).collect()]
+    assert list(duplicates._billionths(np.array(like)) / 1e9) == want
+
+
+def test_matches_across_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", 16)
+    monkeypatch.setattr(duplicates, "TASK_BYTES", 1 << 10)
+    v = np.random.default_rng(1).integers(-3, 4, (120, 4)).astype(float)
+    kinds = ["function", "type", "other"]
+    df = spark.createDataFrame([(k, f"f{k // 2}", f"s{k % 3}", kinds[k % 3], v[k].tolist()) for k in range(120)], "chunk_id long, file_path string, symbol_path string, kind string, embedding array<double>")
+    got = {(r.source_id, r.rank): r.match_id for r in duplicates.find_duplicates(df, min_similarity=2, text_col=None).collect()}
+    want = {}
+    for a in range(120):
+        fits = [b for b in range(120) if b % 3 == a % 3 and b // 2 != a // 2 and v[a] @ v[b] >= 2]
+        want |= {(a, k + 1): b for k, b in enumerate(sorted(fits, key=lambda b: (-(v[a] @ v[b]), b))[:5])}
+    assert got == want
