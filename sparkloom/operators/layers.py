@@ -12,17 +12,31 @@ LAYERS = ("liveLSP", "lspIndex", "treeSitter")
 STRIPE = 32
 
 
+def _narrowest(places: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """The narrowest span at each of the distinct places (file_path, line): _file, _line and the span's columns.
+
+    The join is by file and stripe of lines, so a long file isn't compared with all
+    of its spans.  The window has the join's keys, so what it drops isn't shuffled.
+    """
+    p = places.select(F.col("file_path").alias("_file"), F.col("line").alias("_line")).distinct().withColumn("_s", F.floor(F.col("_line") / STRIPE)).alias("p")
+    s = spans.withColumn("_s", F.explode(F.sequence(F.floor(F.col("start_line") / STRIPE), F.floor(F.col("end_line") / STRIPE)))).alias("s")
+    hit = p.join(s, (F.col("_file") == F.col("s.file_path")) & (F.col("p._s") == F.col("s._s")) & (F.col("s.start_line") <= F.col("_line")) & (F.col("s.end_line") >= F.col("_line"))).select("_file", "p._s", "_line", *[F.col(f"s.{c}") for c in spans.columns])
+    w = Window.partitionBy("_file", "_s", "_line").orderBy(F.col("end_line") - F.col("start_line"), key)
+    return hit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_s")
+
+
 def enclosing(positions: DataFrame, spans: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """For each position (query_id, file_path, line) its narrowest span: query_id, the span's columns, and the position's columns of `keep` as at_....
 
-    The join is by file and stripe of lines, so a long file isn't compared
-    with all of its spans; the narrowest is kept by a window over the query.
+    Each place is looked up once, however many positions lie there, and a position
+    meets one span; a window keeps one row of a query that has several places.
     """
-    p = positions.withColumn("_s", F.floor(F.col("line") / STRIPE)).alias("p")
-    s = spans.withColumn("_s", F.explode(F.sequence(F.floor(F.col("start_line") / STRIPE), F.floor(F.col("end_line") / STRIPE)))).alias("s")
-    hit = p.join(s, (F.col("p.file_path") == F.col("s.file_path")) & (F.col("p._s") == F.col("s._s")) & (F.col("s.start_line") <= F.col("p.line")) & (F.col("s.end_line") >= F.col("p.line"))).select("p.query_id", *[F.col(f"p.{c}").alias(f"at_{c}") for c in keep], *[F.col(f"s.{c}") for c in spans.columns])
+    at = positions.select("query_id", F.col("file_path").alias("_at"), F.col("line").alias("_on"), *[F.col(c).alias(f"at_{c}") for c in keep])
+    best = _narrowest(positions, spans, key)
+    hit = at.join(best, (F.col("_at") == F.col("_file")) & (F.col("_on") == F.col("_line"))).select("query_id", *[f"at_{c}" for c in keep], *spans.columns)
     w = Window.partitionBy("query_id").orderBy(F.col("end_line") - F.col("start_line"), key)
-    return hit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    # shuffled first: else the rows are also sorted before that, to no end
+    return hit.repartition("query_id").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def cascade(positions: DataFrame, *answers: DataFrame) -> DataFrame:
@@ -34,8 +48,8 @@ def cascade(positions: DataFrame, *answers: DataFrame) -> DataFrame:
     for k, a in enumerate(answers):
         a = a.withColumn("_layer", F.lit(k))
         both = a if both is None else both.unionByName(a)
-    best = both.groupBy("query_id").agg(F.min("_layer").alias("_best"))
-    rows = both.join(best, "query_id").filter("_layer = _best").drop("_best")
+    best = F.min("_layer").over(Window.partitionBy("query_id"))  # a join would work out all answers twice
+    rows = both.withColumn("_best", best).filter("_layer = _best").drop("_best")
     # not element_at: with an index that may be null the planner still takes it as never null, and drops the default
     name = F.when(F.col("_layer") == 0, LAYERS[0]).when(F.col("_layer") == 1, LAYERS[1]).when(F.col("_layer") == 2, LAYERS[2]).otherwise("none")
     return positions.select("query_id").join(rows, "query_id", "left").withColumn("layer", name).drop("_layer")

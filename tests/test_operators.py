@@ -349,3 +349,24 @@ def test_matches_across_blocks_equal_brute_force(spark, monkeypatch):
         fits = [b for b in range(120) if b % 3 == a % 3 and b // 2 != a // 2 and v[a] @ v[b] >= 2]
         want |= {(a, k + 1): b for k, b in enumerate(sorted(fits, key=lambda b: (-(v[a] @ v[b]), b))[:5])}
     assert got == want
+
+
+_SPANS = "symbol_id long, file_path string, start_line int, end_line int, name string"
+
+
+def test_equal_places_meet_the_spans_once(spark):
+    spans = spark.createDataFrame([(k, "a", 40 - k, 60 + k, f"s{k}") for k in range(30)], _SPANS)
+    positions = spark.createDataFrame([(k, "a", 50) for k in range(500)] + [(7, "a", 11)], "query_id long, file_path string, line int")
+    found = layers.enclosing(positions, spans, "symbol_id")
+    assert max(ran(found, "numOutputRows", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")) <= 501
+    assert sorted((r.query_id, r.symbol_id) for r in found.collect()) == [(k, 0) for k in range(500)]
+
+
+def test_a_cascade_works_out_its_answers_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda x: calls.add(1) or x).asNondeterministic()
+    answers = spark.createDataFrame([(k, "x") for k in range(20)], "query_id long, contents string")
+    second = answers.withColumn("query_id", mark("query_id").cast("long"))
+    got = layers.cascade(answers, answers.filter("query_id < 5"), second).collect()
+    assert calls.value == 20
+    assert sorted((r.query_id, r.layer) for r in got) == [(k, "liveLSP" if k < 5 else "lspIndex") for k in range(20)]
