@@ -97,9 +97,20 @@ def rename_edits(requests: DataFrame, prepared: DataFrame, edits: DataFrame) ->
 
 
 def incoming(positions: DataFrame, live: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """The callers (query_id, name, file_path, n_sites, layer) of what lies at each position: live ones, else those of the index."""
-    columns = ("query_id", "name", "file_path", "n_sites")
-    return cascade(positions, live.select(*columns), inbound_calls(positions, symbols, edges).select(*columns))
+    """The callers (query_id, name, file_path, n_sites, layer) of what lies at each position: live ones, else those of the index.
+
+    The callers come last, to the positions that have no live answer, so they aren't shuffled.
+    """
+    columns = ("name", "file_path", "n_sites")
+    told = positions.select("query_id").join(live.select("query_id", *columns), "query_id").withColumn("layer", F.lit(LAYERS[0]))
+    at = enclosing(positions, symbols, "symbol_id").select("query_id", F.col("symbol_id").alias("_callee"))
+    rest = positions.select("query_id").join(live.select("query_id"), "query_id", "left_anti").join(at, "query_id", "left")
+    # positions without a symbol are spread over the join's tasks
+    rest = rest.withColumn("_salt", F.when(F.col("_callee").isNull(), F.pmod(F.xxhash64("query_id"), F.lit(1024))).otherwise(F.lit(0).cast("long")))
+    c = _callers(positions, symbols, edges).withColumn("_zero", F.lit(0).cast("long"))
+    found = rest.join(c, (F.col("_callee") == F.col("callee_id")) & (F.col("_salt") == F.col("_zero")), "left")
+    layer = F.when(F.col("callee_id").isNotNull(), LAYERS[1]).otherwise("none").alias("layer")
+    return told.unionByName(found.select("query_id", *columns, layer))
 
 
 def call_sites(ranges):
@@ -107,12 +118,18 @@ def call_sites(ranges):
     return F.coalesce(F.filter(F.from_json(ranges, "array<array<int>>"), lambda q: F.size(q) == 4), F.array())
 
 
+def _callers(positions: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """caller_id, callee_id, n_sites, name and file_path: the callers of each symbol that is the narrowest at a place; counted once, not for every position."""
+    asked = _narrowest(positions, symbols, "symbol_id").select(F.col("symbol_id").alias("callee_id")).distinct()
+    e = edges.join(asked, "callee_id", "left_semi").select("caller_id", "callee_id", F.size(call_sites(F.col("from_ranges"))).alias("n"))
+    n = e.groupBy("callee_id", "caller_id").agg(F.sum("n").alias("n_sites"))
+    return n.join(symbols.select(F.col("symbol_id").alias("caller_id"), "name", "file_path"), "caller_id")
+
+
 def inbound_calls(positions: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """query_id, caller_id, name, file_path, n_sites: the callers of the symbol at each position."""
     at = enclosing(positions, symbols, "symbol_id").select("query_id", F.col("symbol_id").alias("callee_id"))
-    e = edges.select("caller_id", "callee_id", F.size(call_sites(F.col("from_ranges"))).alias("n"))
-    hit = at.join(e, "callee_id").groupBy("query_id", "caller_id").agg(F.sum("n").alias("n_sites"))
-    return hit.join(symbols.select(F.col("symbol_id").alias("caller_id"), "name", "file_path"), "caller_id")
+    return at.join(_callers(positions, symbols, edges), "callee_id").select("caller_id", "query_id", "n_sites", "name", "file_path")
 
 
 def references_index(positions: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

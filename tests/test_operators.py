@@ -370,3 +370,15 @@ def test_a_cascade_works_out_its_answers_once(spark):
     got = layers.cascade(answers, answers.filter("query_id < 5"), second).collect()
     assert calls.value == 20
     assert sorted((r.query_id, r.layer) for r in got) == [(k, "liveLSP" if k < 5 else "lspIndex") for k in range(20)]
+
+
+def test_callers_are_not_shuffled_for_each_position(spark):
+    symbols = spark.createDataFrame([(k, "a", 10 * k, 10 * k + 5, f"s{k}") for k in range(40)], _SPANS)
+    edges = spark.createDataFrame([(k, 0, "[[1,2,3,4],[1,2,3,4]]") for k in range(1, 40)], "caller_id long, callee_id long, from_ranges string")
+    positions = spark.createDataFrame([(k, "a", 0 if k < 300 else 7) for k in range(400)], "query_id long, file_path string, line int")
+    live = spark.createDataFrame([(k, f"l{j}", "b", 1) for k in (0, 399) for j in range(2)], "query_id long, name string, file_path string, n_sites long")
+    found = layers.incoming(positions, live, symbols, edges)
+    assert sum(ran(found, "shuffleRecordsWritten", "Exchange")) < 39 * 300
+    got = sorted(tuple(r) for r in found.select("query_id", F.coalesce("name", F.lit("")), F.coalesce("n_sites", F.lit(0)), "layer").collect())
+    want = [(k, f"l{j}", 1, "liveLSP") for k in (0, 399) for j in range(2)] + [(k, f"s{j}", 2, "lspIndex") for k in range(1, 300) for j in range(1, 40)] + [(k, "", 0, "none") for k in range(300, 399)]
+    assert got == sorted(want)
