@@ -17,10 +17,14 @@ def spaced(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words, split at non-alphanumerics and camel-case boundaries; words that were split also whole."""
+    """Lower-cased words, split at non-alphanumerics and camel-case boundaries; words that were split also whole.
+
+    A text without a boundary, such as most prose, is only split.
+    """
+    boundary = r"(?:\p{Ll}|\p{N})\p{Lu}"
     parts = F.split(F.lower(spaced(text)), r"[^\p{L}\p{N}]+")
-    whole = F.transform(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"(\p{Ll}|\p{N})\p{Lu}")), F.lower)
-    return F.filter(F.concat(parts, whole), lambda w: w != "")
+    whole = F.transform(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w.rlike(boundary)), F.lower)
+    return F.filter(F.when(text.rlike(boundary), F.concat(parts, whole)).otherwise(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: w != "")
 
 
 def token_count(text: Column) -> Column:

@@ -36,6 +36,7 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     count = lambda text, term: F.when(F.contains(F.lower(text), F.lit(term)), F.size(F.filter(tokens(text), lambda w: w == term))).otherwise(0)
     body, path = F.coalesce("text", F.lit("")), F.coalesce("symbol_path", F.lit(""))
     t = chunks.select("chunk_id", (token_count(body) + token_count(path)).alias("_n"), *[(count(body, q) + SYMBOL_WEIGHT * count(path, q)).alias(f"_f{k}") for k, q in enumerate(terms)])
+    t = shared(t, "terms")  # the statistics and the scores read it; texts are gone through once
     stats = t.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
     idf = lambda k: F.log(1 + (F.col("_docs") - F.col(f"_d{k}") + 0.5) / (F.col(f"_d{k}") + 0.5))
     score = F.lit(0.0)
@@ -115,10 +116,16 @@ def progress(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf and length: the inverted index, for corpora that many queries share."""
-    t = chunks.select("chunk_id", tokens(F.col("text")).alias("b"), tokens(F.col("symbol_path")).alias("s")).withColumn("length", F.size("b") + F.size("s"))
-    each = t.select("chunk_id", "length", F.explode("b").alias("term"), F.lit(1).alias("w")).unionByName(t.select("chunk_id", "length", F.explode("s").alias("term"), F.lit(SYMBOL_WEIGHT).alias("w")))
-    return each.groupBy("term", "chunk_id").agg(F.sum("w").alias("tf"), F.first("length").alias("length"))
+    """term, chunk_id, tf and length: the inverted index, for corpora that many queries share.
+
+    Chunks are shuffled by their id as they are, and words are made and counted where they come to lie.
+    The number of partitions is given, as texts become many times their size in postings.
+    """
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = chunks.select("chunk_id", "text", "symbol_path").repartition(n, "chunk_id").select("chunk_id", tokens(F.col("text")).alias("b"), tokens(F.col("symbol_path")).alias("s"))
+    both = F.concat(F.coalesce("b", F.array().cast("array<string>")), F.coalesce("s", F.array().cast("array<string>")))
+    each = t.select("chunk_id", (F.size("b") + F.size("s")).alias("length"), F.coalesce(F.size("b"), F.lit(0)).alias("_n"), F.posexplode(both).alias("_k", "term"))
+    return each.groupBy("term", "chunk_id", "length").agg(F.sum(F.when(F.col("_k") < F.col("_n"), 1).otherwise(SYMBOL_WEIGHT)).alias("tf")).select("term", "chunk_id", "tf", "length")
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
