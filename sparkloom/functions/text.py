@@ -73,9 +73,11 @@ def distinct_trigrams(texts: list[str], width: int = 1 << 20) -> np.ndarray:
             size += len(texts[hi])
             hi += 1
         lengths = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
-        every, code = np.unique(np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
-        bits = max(1, int(len(every) - 1).bit_length())
-        code = code.astype(np.uint64)
+        points = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = np.zeros(int(points.max(initial=0)) + 1, np.uint64)  # of each character; a table, as a sort takes far longer
+        number[points] = 1
+        bits = max(1, (int(number.sum()) - 1).bit_length())
+        code = (np.cumsum(number) - number)[points]
         row = np.repeat(np.arange(hi - lo, dtype=np.uint64), lengths)
         if len(code) > 2:
             inside = row[2:] == row[:-2]

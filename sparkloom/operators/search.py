@@ -56,8 +56,10 @@ def trigram(chunks: DataFrame, query: str) -> DataFrame:
     low = chunks.select("chunk_id", F.lower("text").alias("_t"), F.lower("symbol_path").alias("_s"))
     if not n:
         return low.select("chunk_id", F.lit(0.0).alias("trigram")).limit(0)
-    both = low.withColumns({"_ft": shared_trigrams(F.col("_t"), query), "_fs": shared_trigrams(F.col("_s"), query)}).filter("_ft + _fs > 0")
-    dice = lambda f, text: 2.0 * F.col(f) / (trigram_count(F.col(text)) + F.lit(n))
+    # a generator, as a filter moves below columns and then works them out, lower-cased texts included, for each trigram
+    found = F.struct(shared_trigrams(F.col("_t"), query).alias("_ft"), shared_trigrams(F.col("_s"), query).alias("_fs"))
+    both = low.select("chunk_id", "_t", "_s", F.inline(F.array(found))).filter("_ft + _fs > 0")
+    dice = lambda f, text: 2.0 * F.col(f) / (trigram_count(F.when(F.col(f) > 0, F.col(text))) + F.lit(n))
     return both.select("chunk_id", (SYMBOL_WEIGHT * dice("_fs", "_s") + dice("_ft", "_t")).alias("trigram"))
 
 

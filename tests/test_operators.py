@@ -382,3 +382,25 @@ def test_callers_are_not_shuffled_for_each_position(spark):
     got = sorted(tuple(r) for r in found.select("query_id", F.coalesce("name", F.lit("")), F.coalesce("n_sites", F.lit(0)), "layer").collect())
     want = [(k, f"l{j}", 1, "liveLSP") for k in (0, 399) for j in range(2)] + [(k, f"s{j}", 2, "lspIndex") for k in range(1, 300) for j in range(1, 40)] + [(k, "", 0, "none") for k in range(300, 399)]
     assert got == sorted(want)
+
+
+def test_postings_shuffle_chunks_not_words(spark):
+    words = " ".join(f"w{k} aB{k}" for k in range(50))
+    df = spark.createDataFrame([(k, words, f"Doc{k}.w1") for k in range(20)] + [(3, "w1 w1", "x"), (4, words, "Doc4.w1")], "chunk_id long, text string, symbol_path string")
+    found = search.postings(df)
+    assert sum(ran(found, "shuffleRecordsWritten", "Exchange")) <= 22
+    got = {(r.chunk_id, r.term, r.length): r.tf for r in found.collect()}
+    assert len(got) == found.count()
+    assert (got[0, "w1", 202], got[4, "w1", 202], got[0, "ab7", 202], got[0, "b7", 202]) == (6, 12, 1, 1)
+    assert {k[1:]: v for k, v in got.items() if k[0] == 3 and k[2] == 3} == {("w1", 3): 2, ("x", 3): 5}
+
+
+def test_searches_go_through_texts_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    mark = F.udf(lambda x: calls.add(1) or x).asNondeterministic()
+    df = spark.createDataFrame([(k, f"license {k}", "a.b") for k in range(20)], "chunk_id long, text string, symbol_path string")
+    assert search.bm25(df.withColumn("text", mark("text")), "license version").count() == 20
+    assert calls.value == 20
+    found = search.trigram(df, "license version")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2
+    assert found.count() == 20
